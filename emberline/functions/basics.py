@@ -42,3 +42,9 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
 def trim_space(text: Column) -> Column:
     """Strip every kind of white space, not only blanks."""
     return F.btrim(text, F.lit(WHITESPACE))
+
+
+def fixed_point(number: Column, decimals: int) -> Column:
+    """``%.Nf`` of the exact binary value, ties to even (``format_string`` rounds the
+    shortest decimal form up instead)."""
+    return F.translate(F.format_number(number, decimals), ",", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberline.functions.basics import as_col, bind, int_div, trim_space
+from emberline.functions.basics import as_col, bind, fixed_point, int_div, trim_space
 
 # Binary size units, and duration units in seconds.
 SIZE_UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
@@ -25,7 +25,7 @@ def format_bytes(size) -> Column:
     n = as_col(size)
     shown = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in enumerate(SIZE_UNITS, start=1):
-        scaled = F.format_string(f"%.1f {unit}", n.cast("double") / F.lit(float(1024**power)))
+        scaled = F.concat(fixed_point(n.cast("double") / F.lit(float(1024**power)), 1), F.lit(f" {unit}"))
         shown = F.when(n >= F.lit(1024**power), scaled).otherwise(shown)
     return shown
 

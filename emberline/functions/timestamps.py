@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.basics import as_col, bind, digits, found, int_div, to_int
+from emberline.functions.basics import as_col, bind, digits, fixed_point, found, int_div, to_int
 from emberline.functions.jsonlines import field_text, field_type, json_object
 
 # Month names, timestamp keys of JSON lines in order of
@@ -276,7 +276,7 @@ def _json_field_time(obj: Column, key: str) -> Column:
     seconds = F.when(kind == "STRING", _json_string_seconds(text)).when(
         kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), scaled
     )
-    shown = F.when(kind == "STRING", text).otherwise(F.format_string("%.3f", scaled))
+    shown = F.when(kind == "STRING", text).otherwise(fixed_point(scaled, 3))
     return bind(
         F.struct(seconds.alias("ts"), shown.alias("ts_str")),
         lambda s: F.when(s["ts"].isNotNull(), s),
