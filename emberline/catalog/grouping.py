@@ -14,7 +14,6 @@ from emberline.operators.detect import detector_for, generic_detector, mark_dete
 from emberline.operators.metrics import last_activity, source_metrics
 from emberline.plans.fixtures import epoch_seconds
 from emberline.plans.flow import issues_to_events
-from emberline.plans.storage import cut
 from emberline.sources.sinks import pending
 
 CATALOG = Catalog()
@@ -131,7 +130,7 @@ def rate_limit_per_source(spark, sf):
 {windows_sql("SELECT source, batch_id AS ord, start_ts AS t FROM b", 21600)}
 SELECT source, ord AS batch_id, pos < 2 AS passed FROM lim""")
 def limited_batches(spark, sf):
-    batches = cut(B.group_batches(issues(spark, sf), window=HOUR).select("source", "batch_id", "start_ts"))
+    batches = B.group_batches(issues(spark, sf), window=HOUR).select("source", "batch_id", "start_ts")
     return L.rate_limit(batches, burst=2, window=6 * HOUR).select("source", "batch_id", "passed")
 
 
@@ -222,9 +221,7 @@ def source_metrics_query(spark, sf):
     raw = lines(spark, sf, "nginx")
     detector, exclude = detector_for("nginx"), r"1#0: "
     marked = mark_excluded(mark_detected(raw, detector), exclude)
-    batches = cut(
-        B.group_batches(matched_lines(raw, detector, exclude), window=HOUR).select("source", "batch_id", "start_ts")
-    )
+    batches = B.group_batches(matched_lines(raw, detector, exclude), window=HOUR).select("source", "batch_id", "start_ts")
     return source_metrics(marked, L.rate_limit(batches, burst=2, window=6 * HOUR))
 
 

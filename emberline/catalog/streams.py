@@ -1,8 +1,6 @@
 """The streaming flow over the event table, fed as a series of files; results must
 equal the batch operators'."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from emberline.catalog import Catalog
@@ -12,7 +10,7 @@ from emberline.catalog.grouping import CATALOG as GROUPING
 from emberline.catalog.grouping import DMESG_MATCHED, NGINX_MATCHED
 from emberline.operators.detect import detector_for
 from emberline.plans.fixtures import epoch_seconds
-from emberline.plans.storage import shared_folder
+from emberline.plans.storage import new_path
 from emberline.streaming.issues import IssueStream
 from emberline.streaming.silence import SilenceStream
 
@@ -23,19 +21,11 @@ FILES = 3
 LINES = "source string, line_no long, line string"
 
 
-def folder(spark):
-    base = shared_folder(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder for stream input and state")
-    return f"{base}/emberline-stream-{uuid.uuid4().hex}"
-
-
 def feed(spark, df, path, schema):
     """The lines as files in order of ``line_no``, then as a stream of one file per trigger."""
-    # One file per range; names rise with the range, times are equal or rise too.
+    top = df.agg(F.max("line_no")).first()[0]
     for part in range(FILES):
-        bounds = df.agg(F.max("line_no").alias("top"))
-        piece = df.join(bounds).filter(F.floor(F.col("line_no") * FILES / (F.col("top") + 1)) == part).drop("top")
+        piece = df.filter(F.floor(F.col("line_no") * FILES / (top + 1)) == part)
         piece.coalesce(1).write.mode("append").parquet(f"{path}/in/part={part}")
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
@@ -44,7 +34,7 @@ def feed(spark, df, path, schema):
 
 
 def run(spark, sf, fmt, **options):
-    path = folder(spark)
+    path = new_path(spark, "stream")
     stream = feed(spark, lines(spark, sf, fmt), path, LINES)
     flow = IssueStream(spark, detector_for(fmt), f"{path}/state", idle=None, **options)
     query = flow.start(stream, f"{path}/events", f"{path}/checkpoint", available_now=True)
@@ -81,7 +71,7 @@ def stream_rate_limit(spark, sf):
 
 @add("stream_inactivity", GROUPING.sql["inactivity_alerts"].replace("coalesce(til, 1706745600) - since > 1800", "til - since > 1800"))
 def stream_inactivity(spark, sf):
-    path = folder(spark)
+    path = new_path(spark, "stream")
     seen = lines(spark, sf, "iso", "ts").select("source", "line_no", epoch_seconds().cast("double").alias("ts"))
     stream = feed(spark, seen, path, "source string, line_no long, ts double")
     flow = SilenceStream(spark, f"{path}/state", 1800.0)

@@ -1,7 +1,5 @@
 """Redaction, formatting, parsing, payload framing and text files."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from emberline.catalog import Catalog
@@ -9,7 +7,7 @@ from emberline.catalog.common import LINE_SQL, lines, table
 from emberline.functions import redact as R
 from emberline.functions import text as X
 from emberline.functions.jsonlines import json_escape
-from emberline.plans.storage import shared_folder
+from emberline.plans.storage import new_path
 from emberline.sources.text import read_lines, split_payload
 
 CATALOG = Catalog()
@@ -37,7 +35,7 @@ FROM h GROUP BY id"""
 
 
 DOCUMENT_WORDS_SQL = """SELECT doc_id AS id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w
-  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), x -> x <> '') AS ws FROM documents)"""
+  FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+') if x <> ''] AS ws FROM documents)"""
 
 
 @add("sanitize_documents", f"WITH {walk_sql(DOCUMENT_WORDS_SQL)}")
@@ -176,10 +174,7 @@ def split_payload_query(spark, sf):
 SELECT 'src' || (user_id % 4) AS source, count(*) AS n, min({LINE_SQL['iso']}) AS first_line, max({LINE_SQL['iso']}) AS last_line FROM events GROUP BY 1""")
 def text_files(spark, sf):
     raw = lines(spark, sf, "iso")
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder for the written log files")
-    path = f"{folder}/emberline-text-{uuid.uuid4().hex}"
+    path = new_path(spark, "text")
     (raw.repartitionByRange(4, "source", "line_no").sortWithinPartitions("source", "line_no")
      .select("source", F.concat("line", F.lit("\r")).alias("line")).write.partitionBy("source").text(path))
     read = read_lines(spark, f"{path}/source=*/*.txt", "app")

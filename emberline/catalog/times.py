@@ -24,23 +24,25 @@ STAMP_SQL = {
 }
 
 
-def seconds(struct, name="ts"):
-    return struct["ts"].cast("bigint").alias(name), struct["ts_str"].alias("ts_str")
+def parsed(df, tagged, *columns):
+    """Whole seconds and stamp text, by the staged operator."""
+    staged = T.with_parsed(df, tagged, AS_OF)
+    return staged.select(*columns, F.col("ts").cast("bigint").alias("ts"), "ts_str")
 
 
-def simple(name, fmt, fn):
+def simple(name, fmt, tagged):
     sql = f"WITH {lines_sql(fmt)} SELECT line_no, CAST({SECONDS_SQL} AS BIGINT) AS ts, {STAMP_SQL[fmt]} AS ts_str FROM lines"
 
     @add(name, sql)
     def query(spark, sf):
-        return lines(spark, sf, fmt).select("line_no", fn("line").alias("t")).select("line_no", *seconds(F.col("t")))
+        return parsed(lines(spark, sf, fmt), tagged("line"), "line_no")
 
 
-simple("ts_iso8601", "iso", T.parse_iso8601)
-simple("ts_nginx_error", "nginx", T.parse_nginx_error)
-simple("ts_nginx_access", "access", T.parse_nginx_access)
-simple("ts_syslog", "syslog", lambda c: T.parse_syslog_ts(c, AS_OF))
-simple("ts_json", "json", T.json_timestamp)
+simple("ts_iso8601", "iso", T.tagged_iso)
+simple("ts_nginx_error", "nginx", T.tagged_nginx_error)
+simple("ts_nginx_access", "access", T.tagged_nginx_access)
+simple("ts_syslog", "syslog", T.tagged_syslog)
+simple("ts_json", "json", T.tagged_json)
 
 
 @add("ts_iso8601_zone", f"""
@@ -48,8 +50,8 @@ SELECT event_id, CAST(({SECONDS_SQL} - 19800) * 1000 + 250 AS BIGINT) AS ms,
   strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250+05:30' AS ts_str FROM events""")
 def ts_iso8601_zone(spark, sf):
     line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250+05:30 x"))
-    parsed = table(spark, sf, "events").select("event_id", T.parse_iso8601(line).alias("t"))
-    return parsed.select("event_id", F.round(F.col("t.ts") * 1000).cast("bigint").alias("ms"), F.col("t.ts_str"))
+    found = table(spark, sf, "events").select("event_id", T.parse_iso8601(line).alias("t"))
+    return found.select("event_id", F.round(F.col("t.ts") * 1000).cast("bigint").alias("ms"), F.col("t.ts_str"))
 
 
 @add("ts_access_offset", f"""
@@ -75,8 +77,7 @@ def ts_syslog_last_year(spark, sf):
 WITH {lines_sql('dmesg')} SELECT line_no, CAST(CASE WHEN event_id % 10 <> 9 THEN {UPTIME_SQL} END AS BIGINT) AS ts,
   CASE WHEN event_id % 10 <> 9 THEN {UPTIME_SQL} || '.000000' END AS ts_str FROM lines""")
 def ts_dmesg(spark, sf):
-    parsed = lines(spark, sf, "dmesg").select("line_no", T.parse_dmesg_ts("line").alias("t"))
-    return parsed.select("line_no", *seconds(F.col("t")))
+    return parsed(lines(spark, sf, "dmesg"), T.tagged_dmesg("line"), "line_no")
 
 
 def all_lines(spark, sf):
@@ -101,8 +102,8 @@ def ts_cascade(spark, sf):
 
 @add("ts_cascade_column", CASCADE_SQL)
 def ts_cascade_column(spark, sf):
-    parsed = all_lines(spark, sf).select("event_id", "fmt", T.extract_timestamp("line", AS_OF).alias("t"))
-    return parsed.select("event_id", "fmt", *seconds(F.col("t")))
+    found = all_lines(spark, sf).select("event_id", "fmt", T.extract_timestamp("line", AS_OF).alias("t"))
+    return found.select("event_id", "fmt", F.col("t.ts").cast("bigint").alias("ts"), "t.ts_str")
 
 
 @add("ts_detector_first", f"""
@@ -131,8 +132,8 @@ def ts_bracket(spark, sf):
 SELECT event_id, CASE WHEN event_type = 'error' THEN 11 ELSE 14 END AS pri, 1 AS facility,
   CASE WHEN event_type = 'error' THEN 3 ELSE 6 END AS severity FROM events""")
 def syslog_priority(spark, sf):
-    parsed = lines(spark, sf, "syslog", "event_id").select("event_id", S.syslog_priority("line").alias("p"))
-    return parsed.select("event_id", "p.pri", "p.facility", "p.severity")
+    found = lines(spark, sf, "syslog", "event_id").select("event_id", S.syslog_priority("line").alias("p"))
+    return found.select("event_id", "p.pri", "p.facility", "p.severity")
 
 
 @add("syslog_level", """
@@ -140,8 +141,8 @@ SELECT event_id, CASE WHEN event_id % 8 <= 2 THEN 'fatal' WHEN event_id % 8 = 3
   WHEN event_id % 8 <= 6 THEN 'info' ELSE 'debug' END AS level FROM events""")
 def syslog_level(spark, sf):
     line = F.concat(F.lit("<"), (F.col("event_id") % 192).cast("string"), F.lit(">x"))
-    parsed = table(spark, sf, "events").select("event_id", S.syslog_priority(line).alias("p"))
-    return parsed.select("event_id", S.level_from_syslog("p.severity").alias("level"))
+    found = table(spark, sf, "events").select("event_id", S.syslog_priority(line).alias("p"))
+    return found.select("event_id", S.level_from_syslog("p.severity").alias("level"))
 
 
 @add("context_level", f"""

@@ -3,13 +3,15 @@
 Each format has two halves: a *stamp* (the text of the timestamp inside the
 line, NULL when the line has none) found by one regex that already contains the
 value ranges, and its *seconds* (DOUBLE epoch seconds, or seconds since boot for
-kernel lines), computed from the stamp alone by integer arithmetic. Day 31 of a
-short month and second 60 roll over instead of failing, and no session time zone
-is involved.
+kernel lines), computed from the stamp alone. For the second half a dated stamp
+is laid out with its zone so that Spark casts it natively; only what the cast
+refuses (day 31 of a short month and second 60, which roll over; odd zones) goes
+through integer arithmetic. The session time zone plays no part.
 
 ``parse_*`` join the halves into ``STRUCT<ts DOUBLE, ts_str STRING>`` (NULL when
-not recognised). ``with_timestamps`` keeps them as two projection steps, so that
-each regex runs once per line.
+not recognised). ``with_timestamps`` does the same over a table in projection
+steps, so that each regex runs once per line and all of it stays in generated
+code.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.basics import as_col, bind, digits, fixed_point, found, int_div, to_int
+from emberline.functions.basics import as_col, bind, digits, fixed_point, found, int_div
 from emberline.functions.jsonlines import field_text, field_type, json_object
 
 # Month names, timestamp keys of JSON lines in order of
@@ -30,12 +32,22 @@ _DAY = r"(?:0[1-9]|[12]\d|3[01])"
 _HOUR = r"(?:[01]\d|2[0-3])"
 _MINUTE = r"[0-5]\d"
 _SECOND = r"(?:[0-5]\d|60)"
+_LEAP_YEAR = r"(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+
+
+def _calendar_date(sep: str) -> str:
+    """Year, month and day that exist."""
+    return (
+        rf"(?:\d{{4}}{sep}(?:(?:0[13578]|1[02]){sep}{_DAY}|(?:0[469]|11){sep}(?:0[1-9]|[12]\d|30)"
+        rf"|02{sep}(?:0[1-9]|1\d|2[0-8]))|{_LEAP_YEAR}{sep}02{sep}29)"
+    )
+
 
 ISO_PATTERN = (
     rf"^\d{{4}}-(?:0[1-9]|1[0-2])-{_DAY}[T ]{_HOUR}:{_MINUTE}:{_SECOND}"
     r"(?:\.\d*)?(?:Z|[+-][0-9:]*)?"
 )
-NGINX_ERROR_PATTERN = rf"^\d{{4}}/(?:0[1-9]|1[0-2])/{_DAY} (?:{_HOUR}| \d):{_MINUTE}:[0-5]\d"
+NGINX_ERROR_PATTERN = rf"^{_calendar_date('/')} (?:{_HOUR}| \d):{_MINUTE}:[0-5]\d"
 NGINX_ACCESS_PATTERN = (
     rf"\[({_DAY}/{_MONTH}/(?:19[7-9]\d|[2-9]\d{{3}}):{_HOUR}:{_MINUTE}:{_SECOND} [+-]\d\d{_MINUTE})\]"
 )
@@ -45,14 +57,16 @@ SYSLOG_PATTERN = (
 )
 BRACKET_PATTERN = r"^\[\s*([0-9.]+)\]"
 # RFC 3339, and the two zone-less forms a JSON time field may have.
-JSON_TIME_PATTERN = (
-    r"^\d{4}-\d\d-\d\d(?:T\d{1,2}:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:\d\d)?| +\d{1,2}:\d\d:\d\d(?:[.,]\d+)?)$"
-)
+_JSON_CLOCK = rf"(?:\d|{_HOUR}):{_MINUTE}:[0-5]\d(?:[.,]\d+)?"
+_JSON_ZONE = r"(?:Z|[+-](?:[01]\d|2[0-4]):(?:[0-5]\d|60))"
+JSON_TIME_PATTERN = rf"^{_calendar_date('-')}(?:T{_JSON_CLOCK}{_JSON_ZONE}?| +{_JSON_CLOCK})$"
 MAX_MILLIS_FREE = 1e11  # larger JSON numbers are milliseconds
 YEAR_AHEAD_SECONDS = 30 * 24 * 3600  # a syslog date further ahead belongs to last year
 
+_REST = 1 << 20
 
-# --- calendar arithmetic ---------------------------------------------------
+
+# --- calendar --------------------------------------------------------------
 
 def epoch_days(year: Column, month: Column, day: Column) -> Column:
     """Days since 1970-01-01; days past the end of the month roll over."""
@@ -64,232 +78,259 @@ def epoch_days(year: Column, month: Column, day: Column) -> Column:
     ).cast("long")
 
 
-def days_in_month(year: Column, month: Column) -> Column:
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    return (
-        F.when(month.isin(4, 6, 9, 11), 30)
-        .when(month == 2, F.when(leap, 29).otherwise(28))
-        .otherwise(31)
-    )
-
-
-def _clock(text: Column, hour: int, minute: int, second: int) -> Column:
-    return digits(text, hour, 2) * 3600 + digits(text, minute, 2) * 60 + digits(text, second, 2)
+def _now(as_of) -> Column:
+    if as_of is None:
+        return F.unix_micros(F.current_timestamp()) / F.lit(1e6)
+    return as_of if isinstance(as_of, Column) else F.lit(float(as_of))
 
 
-def _month_number(name: Column) -> Column:
-    return int_div(F.instr(F.lit("".join(MONTHS)), name) + 2, 3)
+def _date_of(seconds: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
 
 
-# --- ISO 8601 --------------------------------------------------------------
+# --- stamps ----------------------------------------------------------------
 
 def iso_stamp(line) -> Column:
     return found(as_col(line), ISO_PATTERN)
 
 
-def _fraction(tail: Column) -> Column:
-    frac = F.regexp_extract(tail, r"^[.,](\d{1,9})", 1)
-    return F.rpad(frac, 9, "0").cast("long").cast("double") / F.lit(1e9)
+def nginx_error_stamp(line) -> Column:
+    return found(as_col(line), NGINX_ERROR_PATTERN)
 
 
-def _zone_seconds(tail: Column) -> Column:
-    """Offset of a trailing ``+HH``, ``+HHMM`` or ``+HH:MM``; anything else is UTC."""
-    zone = F.regexp_extract(tail, r"([+-])(\d\d(?::?\d\d)?)$", 2)
-    sign = F.when(F.regexp_extract(tail, r"([+-])[0-9:]*$", 1) == "-", -1).otherwise(1)
-    complete = tail.rlike(r"[+-]\d\d(?::?\d\d)?$")
-    minutes = F.when(F.length(zone) > 2, to_int(F.substring(zone, -2, 2))).otherwise(0)
-    return F.when(complete, sign * (digits(zone, 1, 2) * 3600 + minutes * 60)).otherwise(0)
+def nginx_access_stamp(line) -> Column:
+    """First *valid* bracketed time; the regex holds the ranges, so a bad one is passed over."""
+    return found(as_col(line), NGINX_ACCESS_PATTERN, 1)
 
 
-def iso_seconds(stamp: Column) -> Column:
-    whole = (
-        epoch_days(digits(stamp, 1, 4), digits(stamp, 6, 2), digits(stamp, 9, 2)) * 86400
-        + _clock(stamp, 12, 15, 18)
-    )
-    tail = F.substring(stamp, 20, 1 << 20)
-    full = (whole - _zone_seconds(tail)).cast("double") + _fraction(tail)
-    return F.when(F.length(stamp) == 19, whole.cast("double")).otherwise(full)
+def dmesg_stamp(line) -> Column:
+    return found(as_col(line), DMESG_PATTERN, 1)
 
 
-def parse_iso8601(line) -> Column:
-    return _joined(iso_stamp(line), iso_seconds)
+def syslog_stamp(line) -> Column:
+    return found(as_col(line), SYSLOG_PATTERN, 1)
 
 
-# --- nginx -----------------------------------------------------------------
+# A tagged stamp is the stamp with one leading letter that names its format:
+# i ISO, n nginx error, a nginx access, d kernel, s syslog, j JSON text, f JSON number.
 
-def nginx_error_stamp(line) -> Column:
-    text = found(as_col(line), NGINX_ERROR_PATTERN)
-    return bind(
-        text,
-        lambda s: F.when(
-            digits(s, 9, 2) <= days_in_month(digits(s, 1, 4), digits(s, 6, 2)), s
-        ),
+def tagged_iso(line) -> Column:
+    return F.concat(F.lit("i"), iso_stamp(line))
+
+
+def tagged_nginx_error(line) -> Column:
+    return F.concat(F.lit("n"), nginx_error_stamp(line))
+
+
+def tagged_nginx_access(line) -> Column:
+    return F.concat(F.lit("a"), nginx_access_stamp(line))
+
+
+def tagged_syslog(line) -> Column:
+    return F.concat(F.lit("s"), syslog_stamp(line))
+
+
+def tagged_cascade(line) -> Column:
+    """Stamp of whichever format the first character allows."""
+    text = as_col(line)
+    first = F.substring(text, 1, 1)
+    digit = first.between("0", "9")
+    return F.coalesce(
+        F.when(first == "[", tagged_dmesg(text)),
+        F.when(digit, tagged_iso(text)),
+        F.when(digit, tagged_nginx_error(text)),
+        F.when((first == "<") | first.between("A", "Z"), tagged_syslog(text)),
+        F.when(F.contains(text, F.lit("[")), tagged_nginx_access(text)),
     )
 
 
-def nginx_error_seconds(stamp: Column) -> Column:
-    return (
-        epoch_days(digits(stamp, 1, 4), digits(stamp, 6, 2), digits(stamp, 9, 2)) * 86400
-        + _clock(stamp, 12, 15, 18)
-    ).cast("double")
+def tagged_nginx(line) -> Column:
+    return F.coalesce(tagged_nginx_error(line), tagged_nginx_access(line))
 
 
-def parse_nginx_error(line) -> Column:
-    return _joined(nginx_error_stamp(line), nginx_error_seconds)
+def tagged_dmesg(line) -> Column:
+    return F.concat(F.lit("d"), dmesg_stamp(line))
 
 
-def nginx_access_stamp(line) -> Column:
-    """First *valid* bracketed time; the regex holds the ranges, so a bad one is passed over."""
-    return found(as_col(line), NGINX_ACCESS_PATTERN, 1)
+def _tagged_json_field(obj: Column, key: str) -> Column:
+    def tag(text: Column) -> Column:
+        # Only a JSON string can look like a date; a number must not be a string.
+        number = text.rlike(r"^-?[0-9]") & (field_type(obj, key) != "STRING")
+        return F.when(text.rlike(JSON_TIME_PATTERN), F.concat(F.lit("j"), text)).when(
+            number, F.concat(F.lit("f"), text)
+        )
 
+    return bind(field_text(obj, key), tag)
 
-def nginx_access_seconds(stamp: Column) -> Column:
-    sign = F.when(F.substring(stamp, 22, 1) == "-", -1).otherwise(1)
-    offset = sign * (digits(stamp, 23, 2) * 3600 + digits(stamp, 25, 2) * 60)
-    days = epoch_days(digits(stamp, 8, 4), _month_number(F.substring(stamp, 4, 3)), digits(stamp, 1, 2))
-    return (days * 86400 + _clock(stamp, 13, 16, 19) - offset).cast("double")
 
+def tagged_json_object(obj: Column) -> Column:
+    """First of the time keys whose value is a time, from a parsed object."""
+    return F.coalesce(*[_tagged_json_field(obj, key) for key in JSON_TIME_KEYS])
 
-def parse_nginx_access(line) -> Column:
-    return _joined(nginx_access_stamp(line), nginx_access_seconds)
 
+def tagged_json(line) -> Column:
+    return bind(json_object(line), tagged_json_object)
 
-# --- kernel ----------------------------------------------------------------
 
-def dmesg_stamp(line) -> Column:
-    return found(as_col(line), DMESG_PATTERN, 1)
+# --- seconds ---------------------------------------------------------------
 
+def _month_digits(name: Column) -> Column:
+    table = "".join(f"{n:03d}" for n in range(1, 13))
+    return F.substring(F.lit(table), F.instr(F.lit("".join(MONTHS)), name) + 1, F.lit(2))
 
-def dmesg_seconds(stamp: Column) -> Column:
-    whole = F.substring_index(stamp, ".", 1)
-    frac = F.substring(stamp, F.length(whole) + 2, F.lit(64))
-    number = lambda t: F.coalesce(t.try_cast("decimal(38,0)").cast("double"), F.lit(0.0))
-    return number(whole) + number(frac) / F.pow(F.lit(10.0), F.length(frac))
 
+def _dated_text(kind: Column, stamp: Column, as_of) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of the stamps that have another order of fields."""
+    return (
+        F.when(kind == "n", F.translate(stamp, "/", "-"))
+        .when(kind == "a", F.concat(
+            F.substring(stamp, 8, 4), F.lit("-"), _month_digits(F.substring(stamp, 4, 3)), F.lit("-"),
+            F.substring(stamp, 1, 2), F.lit(" "), F.substring(stamp, 13, 8),
+        ))
+        .when(kind == "s", F.concat(
+            F.lpad(F.year(_date_of(_now(as_of))).cast("string"), 4, "0"), F.lit("-"),
+            _month_digits(F.substring(stamp, 1, 3)), F.lit("-"), F.translate(F.substring(stamp, 5, 2), " ", "0"),
+            F.lit(" "), F.substring(stamp, 8, 8),
+        ))
+    )
 
-def parse_dmesg_ts(line) -> Column:
-    return _joined(dmesg_stamp(line), dmesg_seconds)
 
+def _castable(kind: Column, stamp: Column, as_of=None) -> Column:
+    """Text that a plain cast to timestamp reads as the right instant; NULL where the
+    general way is needed (odd fractions and zones) or the stamp holds no date."""
+    whole_zone = r"^.{19}(?:\.\d{1,6})?(?:Z|[+-]\d\d(?::?\d\d)?)$"
+    iso = (
+        F.when(F.length(stamp) == 19, F.concat(stamp, F.lit("Z")))
+        .when(stamp.rlike(whole_zone), stamp)
+        .when(stamp.rlike(r"^.{19}\.\d{1,6}$"), F.concat(stamp, F.lit("Z")))
+    )
+    zone = F.when(kind == "a", F.substring(stamp, 22, 5)).otherwise("Z")
+    return F.when(kind.isin("i", "j"), iso).otherwise(F.concat(_dated_text(kind, stamp, as_of), zone))
 
-# --- syslog ----------------------------------------------------------------
 
-def syslog_stamp(line) -> Column:
-    return found(as_col(line), SYSLOG_PATTERN, 1)
+def _micros(castable: Column) -> Column:
+    return F.unix_micros(castable.try_cast("timestamp"))
 
 
-def _now(as_of) -> Column:
-    if as_of is None:
-        return F.unix_micros(F.current_timestamp()) / F.lit(1e6)
-    return as_of if isinstance(as_of, Column) else F.lit(float(as_of))
+def _general_seconds(kind: Column, stamp: Column, as_of=None) -> Column:
+    """Seconds of any dated stamp by integer arithmetic: days past the end of a month
+    and second 60 roll over, zones may be malformed (then UTC), fractions have nine
+    digits. Rarely needed, so it is kept out of the generated code (by ``bind``)."""
 
+    def of_text(text: Column) -> Column:
+        days = epoch_days(digits(text, 1, 4), digits(text, 6, 2), digits(text, 9, 2))
+        return days * 86400 + digits(text, 12, 2) * 3600 + digits(text, 15, 2) * 60 + digits(text, 18, 2)
 
-def syslog_seconds(stamp: Column, as_of=None) -> Column:
-    """Epoch seconds in the year of ``as_of`` (epoch seconds), or the year before
-    when that would lie more than 30 days ahead."""
-    now = _now(as_of)
-    this_year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(now / 86400).cast("int")))
-    days = epoch_days(this_year, _month_number(F.substring(stamp, 1, 3)), digits(stamp, 5, 2))
-    seconds = days * 86400 + _clock(stamp, 8, 11, 14)
-    date = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
-    earlier = epoch_days(F.year(date) - 1, F.month(date), F.day(date)) * 86400 + _clock(stamp, 8, 11, 14)
-    return F.when(seconds - now > YEAR_AHEAD_SECONDS, earlier).otherwise(seconds).cast("double")
+    def of_parts(p: Column) -> Column:
+        kind, stamp = p["kind"], p["stamp"]
+        clock = F.lpad(F.regexp_extract(stamp, r"[T ](\d{1,2}):", 1), 2, "0")
+        iso = F.concat(F.substring(stamp, 1, 10), F.lit(" "), clock, F.regexp_extract(stamp, r":\d\d:\d\d", 0))
+        whole = bind(F.when(kind.isin("i", "j"), iso).otherwise(_dated_text(kind, stamp, as_of)), of_text)
+        tail = F.when(kind == "a", F.substring(stamp, 22, 5)).when(
+            kind.isin("i", "j"), F.regexp_extract(stamp, r":\d\d:\d\d(.*)$", 1)
+        ).otherwise("")
+        return bind(
+            F.struct(whole.alias("whole"), tail.alias("tail")),
+            lambda q: (q["whole"] - _zone_seconds(q["tail"])).cast("double") + _fraction(q["tail"]),
+        )
 
+    return bind(F.struct(kind.alias("kind"), stamp.alias("stamp")), of_parts)
 
-def parse_syslog_ts(line, as_of=None) -> Column:
-    return _joined(syslog_stamp(line), lambda s: syslog_seconds(s, as_of))
 
+def _fraction(tail: Column) -> Column:
+    frac = F.regexp_extract(tail, r"^[.,](\d{1,9})", 1)
+    return F.rpad(frac, 9, "0").cast("long").cast("double") / F.lit(1e9)
 
-# --- cascade over all line formats -----------------------------------------
-# A tagged stamp is the stamp with one leading letter that names its format.
 
-def tagged_cascade(line) -> Column:
-    text = as_col(line)
-    first = F.substring(text, 1, 1)
-    digit = first.between("0", "9")
-    return F.coalesce(
-        F.when(first == "[", F.concat(F.lit("d"), dmesg_stamp(text))),
-        F.when(digit, F.concat(F.lit("i"), iso_stamp(text))),
-        F.when(digit, F.concat(F.lit("n"), nginx_error_stamp(text))),
-        F.when((first == "<") | first.between("A", "Z"), F.concat(F.lit("s"), syslog_stamp(text))),
-        F.concat(F.lit("a"), nginx_access_stamp(text)),
-    )
+def _zone_seconds(tail: Column) -> Column:
+    """Offset of a trailing ``+HH``, ``+HHMM`` or ``+HH:MM``; anything else is UTC."""
+    sign = F.when(F.contains(tail, F.lit("-")), -1).otherwise(1)
+    zone = F.translate(F.regexp_extract(tail, r"[+-](\d\d(?::?\d\d)?)$", 1), ":", "")
+    offset = sign * (digits(zone, 1, 2) * 3600 + F.coalesce(digits(zone, 3, 2), F.lit(0)) * 60)
+    return F.coalesce(offset, F.lit(0))
 
 
-def tagged_nginx(line) -> Column:
-    return F.coalesce(
-        F.concat(F.lit("n"), nginx_error_stamp(line)), F.concat(F.lit("a"), nginx_access_stamp(line))
-    )
+def _in_past(seconds: Column, as_of) -> Column:
+    """A syslog time, moved to the year before when it lies too far ahead."""
 
+    def last_year(s: Column) -> Column:
+        date = _date_of(s)
+        return epoch_days(F.year(date) - 1, F.month(date), F.day(date)) * 86400 + F.pmod(s, F.lit(86400.0))
+
+    return F.when(seconds - _now(as_of) > YEAR_AHEAD_SECONDS, bind(seconds, last_year)).otherwise(seconds)
+
+
+def dmesg_seconds(stamp: Column) -> Column:
+    whole = F.substring_index(stamp, ".", 1)
+    frac = F.substring(stamp, F.length(whole) + 2, F.lit(64))
+    number = lambda t: F.coalesce(t.try_cast("double"), F.lit(0.0))
+    return number(whole) + number(frac) / F.pow(F.lit(10.0), F.length(frac))
 
-def tagged_dmesg(line) -> Column:
-    return F.concat(F.lit("d"), dmesg_stamp(line))
 
+def _dated_seconds(kind: Column, stamp: Column, micros: Column, as_of=None) -> Column:
+    part = F.pmod(micros, F.lit(1000000))
+    quick = (micros - part) / F.lit(1e6) + part * 1000 / F.lit(1e9)
+    return F.coalesce(quick, _general_seconds(kind, stamp, as_of))
 
-def tagged_seconds(tagged: Column, as_of=None) -> Column:
-    kind, stamp = F.substring(tagged, 1, 1), F.substring(tagged, 2, 1 << 20)
+
+def _seconds(kind: Column, stamp: Column, dated: Column, as_of=None) -> Column:
+    number = stamp.try_cast("double")
     return (
-        F.when(kind == "n", nginx_error_seconds(stamp))
-        .when(kind == "i", iso_seconds(stamp))
-        .when(kind == "d", dmesg_seconds(stamp))
-        .when(kind == "a", nginx_access_seconds(stamp))
-        .when(kind == "s", syslog_seconds(stamp, as_of))
+        F.when(kind == "d", dmesg_seconds(stamp))
+        .when(kind == "f", F.when(number > MAX_MILLIS_FREE, number / 1000.0).otherwise(number))
+        .when(kind == "s", _in_past(dated, as_of))
+        .otherwise(dated)
     )
 
 
-def extract_timestamp(line, as_of=None) -> Column:
-    """Try the formats the first character allows; ``(0.0, '')`` when none fits."""
-    none = F.struct(F.lit(0.0).alias("ts"), F.lit("").alias("ts_str"))
-    whole = bind(
-        tagged_cascade(line),
-        lambda t: F.when(
-            t.isNotNull(),
-            F.struct(tagged_seconds(t, as_of).alias("ts"), F.substring(t, 2, 1 << 20).alias("ts_str")),
-        ),
-    )
-    return F.coalesce(whole, none)
-
-
-# --- JSON ------------------------------------------------------------------
-
-def _json_string_seconds(text: Column) -> Column:
-    day = epoch_days(digits(text, 1, 4), digits(text, 6, 2), digits(text, 9, 2))
-    time = F.regexp_extract(text, r"[T ] *(\d{1,2}:\d\d:\d\d)", 1)
-    hour, rest = to_int(F.substring_index(time, ":", 1)), F.substring(time, -5, 5)
-    minute, second = digits(rest, 1, 2), digits(rest, 4, 2)
-    tail = F.regexp_extract(text, r":\d\d:\d\d((?:[.,]\d+)?(?:Z|[+-]\d\d:\d\d)?)$", 1)
-    zone_ok = ~tail.rlike(r"[+-](?:2[5-9]|[3-9]\d):|[+-]\d\d:(?:6[1-9]|[7-9]\d)$")
-    valid = (
-        text.rlike(JSON_TIME_PATTERN)
-        & digits(text, 6, 2).between(1, 12)
-        & (digits(text, 9, 2) >= 1)
-        & (digits(text, 9, 2) <= days_in_month(digits(text, 1, 4), digits(text, 6, 2)))
-        & (hour < 24) & (minute < 60) & (second < 60) & zone_ok
-    )
-    whole = day * 86400 + hour * 3600 + minute * 60 + second - _zone_seconds(tail)
-    return F.when(valid, whole.cast("double") + _fraction(tail))
+def _shown(kind: Column, stamp: Column, seconds: Column) -> Column:
+    return F.when(kind == "f", fixed_point(seconds, 3)).otherwise(stamp)
 
 
-def _json_field_time(obj: Column, key: str) -> Column:
-    kind, text = field_type(obj, key), field_text(obj, key)
-    number = text.try_cast("double")
-    scaled = F.when(number > MAX_MILLIS_FREE, number / 1000.0).otherwise(number)
-    seconds = F.when(kind == "STRING", _json_string_seconds(text)).when(
-        kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), scaled
-    )
-    shown = F.when(kind == "STRING", text).otherwise(fixed_point(scaled, 3))
-    return bind(
-        F.struct(seconds.alias("ts"), shown.alias("ts_str")),
-        lambda s: F.when(s["ts"].isNotNull(), s),
-    )
+def _parsed(tagged: Column, as_of=None) -> Column:
+    """``STRUCT<ts, ts_str>`` of a tagged stamp, NULL when there is none."""
+
+    def from_tag(tag: Column) -> Column:
+        kind, stamp = F.substring(tag, 1, 1), F.substring(tag, 2, _REST)
+        dated = bind(_micros(_castable(kind, stamp, as_of)), lambda m: _dated_seconds(kind, stamp, m, as_of))
+        return bind(
+            bind(dated, lambda d: _seconds(kind, stamp, d, as_of)),
+            lambda ts: F.when(ts.isNotNull(), F.struct(ts.alias("ts"), _shown(kind, stamp, ts).alias("ts_str"))),
+        )
+
+    return bind(tagged, from_tag)
+
+
+def parse_iso8601(line) -> Column:
+    return _parsed(tagged_iso(line))
+
+
+def parse_nginx_error(line) -> Column:
+    return _parsed(tagged_nginx_error(line))
+
+
+def parse_nginx_access(line) -> Column:
+    return _parsed(tagged_nginx_access(line))
 
 
-def json_object_timestamp(obj: Column) -> Column:
-    """First of the time keys whose value parses, from a parsed object."""
-    return F.coalesce(*[_json_field_time(obj, key) for key in JSON_TIME_KEYS])
+def parse_dmesg_ts(line) -> Column:
+    return _parsed(tagged_dmesg(line))
+
+
+def parse_syslog_ts(line, as_of=None) -> Column:
+    """``as_of`` (epoch seconds) decides the year: its own, or the one before when the
+    date would lie more than 30 days ahead."""
+    return _parsed(tagged_syslog(line), as_of)
 
 
 def json_timestamp(line) -> Column:
-    return bind(json_object(line), json_object_timestamp)
+    return _parsed(tagged_json(line))
+
+
+def extract_timestamp(line, as_of=None) -> Column:
+    """Try the formats the first character allows; ``(0.0, '')`` when none fits."""
+    none = F.struct(F.lit(0.0).alias("ts"), F.lit("").alias("ts_str"))
+    return F.coalesce(_parsed(tagged_cascade(line), as_of), none)
 
 
 # --- other spellings -------------------------------------------------------
@@ -319,25 +360,30 @@ def bracket_timestamp(message) -> Column:
     return found(as_col(message), BRACKET_PATTERN, 1)
 
 
-# --- helpers and the staged operator ---------------------------------------
+# --- the staged operators --------------------------------------------------
+
+def with_parsed(df: DataFrame, tagged: Column, as_of=None) -> DataFrame:
+    """Add ``ts`` and ``ts_str`` of a tagged stamp, NULL where there is none.
 
-def _joined(stamp: Column, seconds) -> Column:
-    return bind(
-        stamp,
-        lambda s: F.when(s.isNotNull(), F.struct(seconds(s).alias("ts"), s.alias("ts_str"))),
+    The same as the ``parse_*`` columns in projection steps: each step is read
+    several times by the next, so Spark evaluates it once, in generated code.
+    """
+    kind, stamp, dated = F.col("_kind"), F.col("_stamp"), F.col("_dated")
+    return (
+        df.withColumn("_tag", tagged)
+        .withColumns({"_kind": F.substring("_tag", 1, 1), "_stamp": F.substring("_tag", 2, _REST)})
+        .withColumn("_micros", _micros(_castable(kind, stamp, as_of)))
+        .withColumn("_dated", F.when(~kind.isin("d", "f"), _dated_seconds(kind, stamp, F.col("_micros"), as_of)))
+        .withColumn("ts", _seconds(kind, stamp, dated, as_of))
+        .withColumn("ts_str", _shown(kind, stamp, F.col("ts")))
+        .drop("_tag", "_kind", "_stamp", "_micros", "_dated")
     )
 
 
 def with_timestamps(df: DataFrame, detector=None, as_of=None, line: str = "line") -> DataFrame:
-    """Add ``ts`` and ``ts_str``: the detector's own format first, then the cascade."""
+    """Add ``ts`` and ``ts_str``: the detector's own format first, then the cascade,
+    else ``0.0`` and ``''``."""
     own = getattr(detector, "stamp", None)
     cascade = tagged_cascade(line)
-    staged = df.withColumn("_tag", F.coalesce(own(F.col(line)), cascade) if own else cascade)
-    ts, ts_str = tagged_seconds(F.col("_tag"), as_of), F.substring("_tag", 2, 1 << 20)
-    timer = getattr(detector, "timestamp", None)
-    if timer:
-        staged = staged.withColumn("_own", timer(F.col(line)))
-        ts, ts_str = F.coalesce(F.col("_own.ts"), ts), F.coalesce(F.col("_own.ts_str"), ts_str)
-    return staged.withColumns(
-        {"ts": F.coalesce(ts, F.lit(0.0)), "ts_str": F.coalesce(ts_str, F.lit(""))}
-    ).drop("_tag", "_own")
+    parsed = with_parsed(df, F.coalesce(own(F.col(line)), cascade) if own else cascade, as_of)
+    return parsed.fillna({"ts": 0.0, "ts_str": ""})

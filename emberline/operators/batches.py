@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from emberline.functions.basics import int_div
 from emberline.functions.timestamps import extract_timestamp_key
 from emberline.plans import chains
-from emberline.plans.ordered import SPANS, with_ordinals
-from emberline.plans.storage import cut
+from emberline.plans.ordered import spans_for, with_ordinals
+from emberline.plans.storage import cut, largest_group, shared_folder
 
 WINDOW_SECONDS = 5.0
 MAX_LINES = 1000
@@ -46,12 +46,21 @@ def _collect(grouped, keep: tuple[str, ...] = ()) -> DataFrame:
     return batches.withColumn("message", F.array_join("lines", "\n"))
 
 
+def _stored(df: DataFrame, keys: list[str], stored: bool, lazy: bool) -> tuple[DataFrame, int | None]:
+    """The table to make several passes over, and its biggest group if it is cheap to tell."""
+    if lazy or (not stored and shared_folder(df.sparkSession) is None):
+        return df, None
+    table = df if stored else cut(df)
+    return table, largest_group(table, keys)
+
+
 def assign_batches(
     matched: DataFrame,
     window: float = WINDOW_SECONDS,
     max_lines: int = MAX_LINES,
     max_bytes: int = MAX_BYTES,
-    spans: tuple[int, ...] = SPANS,
+    largest: int | None = None,
+    spans: tuple[int, ...] | None = None,
     block_rows: int = chains.BLOCK_ROWS,
     fan: int = chains.BLOCKS_PER_SUPER,
 ) -> DataFrame:
@@ -60,27 +69,33 @@ def assign_batches(
 
     A batch starts at its first line and takes the following ones until one is
     stamped more than ``window`` seconds after that first line, or a cap is hit.
+    ``largest`` is the number of issue lines of the biggest source, if known.
     """
     narrow = matched.select("source", "line_no", "ts", "n_bytes")
-    numbered = with_ordinals(narrow, ["source"], "line_no", spans=spans)
+    numbered = with_ordinals(
+        narrow, ["source"], "line_no", spans=spans_for(largest) if spans is None else spans
+    )
     marked = chains.anchored(
         numbered, ["source"], "line_no", chains.capped_block(window, max_lines, max_bytes),
-        overlap=max_lines, block_rows=max(block_rows, max_lines), fan=fan,
+        overlap=max_lines, block_rows=max(block_rows, max_lines), fan=fan, largest=largest,
     )
     return marked.select("source", "line_no", F.col("anchor").alias("batch_id"))
 
 
-def group_batches(matched: DataFrame, materialize: bool = True, keep: tuple[str, ...] = (), **rule) -> DataFrame:
+def group_batches(
+    matched: DataFrame, keep: tuple[str, ...] = (), stored: bool = False, lazy: bool = False, **rule
+) -> DataFrame:
     """Batches of issue lines (see ``assign_batches`` for the rule and its options).
 
-    The issue lines are read by several passes, so they are first written once to
-    the shared folder, when the session names one. ``keep`` names columns whose
-    value on the first line is carried over.
+    The issue lines are read by several passes, so they are written once to the
+    shared folder and the biggest source is counted there, which shortens the plan
+    when all sources are small. ``stored`` tells that they are a stored table
+    already; ``lazy`` plans without either step. ``keep`` names columns whose value
+    on the first line is carried over.
     """
-    columns = ["source", "line_no", "line", "ts", "ts_str", "n_bytes", *keep]
-    issues = matched.select(*columns)
-    issues = cut(issues) if materialize else issues
-    joined = issues.join(assign_batches(issues, **rule), ["source", "line_no"])
+    issues = matched.select("source", "line_no", "line", "ts", "ts_str", "n_bytes", *keep)
+    issues, largest = _stored(issues, ["source"], stored, lazy)
+    joined = issues.join(assign_batches(issues, largest=largest, **rule), ["source", "line_no"])
     return _collect(joined.groupBy("source", "batch_id"), keep)
 
 
@@ -95,16 +110,21 @@ def sendable(batches: DataFrame, matched: DataFrame) -> DataFrame:
     )
 
 
-def batches_by_count(matched: DataFrame, max_lines: int = MAX_LINES, spans: tuple[int, ...] = SPANS) -> DataFrame:
+def batches_by_count(
+    matched: DataFrame, max_lines: int = MAX_LINES, stored: bool = False, lazy: bool = False
+) -> DataFrame:
     """Batches of a fixed number of lines, whatever their time."""
-    numbered = with_ordinals(matched, ["source"], "line_no", spans=spans)
+    issues = matched.select("source", "line_no", "line", "ts", "ts_str", "n_bytes")
+    issues, largest = _stored(issues, ["source"], stored, lazy)
+    numbered = with_ordinals(issues, ["source"], "line_no", spans=spans_for(largest))
     return _collect(
         numbered.withColumn("batch_id", int_div(F.col("ordinal"), max_lines)).groupBy("source", "batch_id")
     )
 
 
 def group_by_timestamp(
-    matched: DataFrame, flush_lines: int = MAX_LINES, key: Column | None = None, spans: tuple[int, ...] = SPANS
+    matched: DataFrame, flush_lines: int = MAX_LINES, key: Column | None = None, stored: bool = False,
+    lazy: bool = False,
 ) -> DataFrame:
     """Lines of one source with the same timestamp text, wherever they stand.
 
@@ -114,7 +134,8 @@ def group_by_timestamp(
     keyed = matched.select(
         "source", "line_no", "line", (extract_timestamp_key("line") if key is None else key).alias("ts_key")
     )
-    numbered = with_ordinals(keyed, ["source", "ts_key"], "line_no", spans=spans)
+    keyed, largest = _stored(keyed, ["source", "ts_key"], stored, lazy)
+    numbered = with_ordinals(keyed, ["source", "ts_key"], "line_no", spans=spans_for(largest))
     return (
         numbered.withColumn("part", int_div(F.col("ordinal"), flush_lines))
         .groupBy("source", "ts_key", "part")

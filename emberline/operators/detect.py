@@ -37,16 +37,15 @@ Builder = Callable[[Column], Column]
 class Detector:
     """``match`` decides; the rest is optional.
 
-    ``stamp`` gives a tagged timestamp text and ``timestamp`` a ready
-    ``STRUCT<ts, ts_str>``, both tried before the general cascade; ``message``
-    rewrites the line before grouping; ``context`` gives JSON text for the event;
-    ``related`` also keeps the lines around a kernel error.
+    ``stamp`` gives a tagged timestamp text (see the timestamp functions), tried
+    before the general cascade; ``message`` rewrites the line before grouping;
+    ``context`` gives JSON text for the event; ``related`` also keeps the lines
+    around a kernel error.
     """
 
     name: str
     match: Builder
     stamp: Builder | None = None
-    timestamp: Builder | None = None
     message: Builder | None = None
     context: Builder | None = None
     related: bool = False
@@ -119,7 +118,7 @@ def json_detector(pattern: str) -> Detector:
     return Detector(
         "json",
         lambda line: detect_json(line, pattern),
-        timestamp=timestamps.json_timestamp,
+        stamp=timestamps.tagged_json,
         context=json_context,
     )
 
@@ -248,7 +247,7 @@ def detect_all(lines: DataFrame, monitors: list[dict], as_of=None, **plan) -> Da
         if not names:
             continue
         detector = dmesg_detector() if kernel_logs else Detector(
-            "monitors", choose("match", False), choose("stamp", False), choose("timestamp", False)
+            "monitors", choose("match", False), choose("stamp", False)
         )
         mine = lines.filter(F.col("monitor").isin(names))
         branches.append(matched_lines(mine, detector, choose("exclude", kernel_logs), as_of, **plan))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emberline.functions.text import parse_duration
 from emberline.plans import chains
-from emberline.plans.ordered import MAX, SPANS, SUM, running
+from emberline.plans.ordered import MAX, SUM, running, spans_for
+from emberline.plans.storage import cut, largest_group, shared_folder
 
 DEFAULT_WINDOW_SECONDS = 1.0
 
@@ -30,7 +31,8 @@ def window_ranks(
     clock: str = "start_ts",
     order: str = "batch_id",
     seed: DataFrame | None = None,
-    spans: tuple[int, ...] = SPANS,
+    largest: int | None = None,
+    spans: tuple[int, ...] | None = None,
     block_rows: int = chains.BLOCK_ROWS,
     fan: int = chains.BLOCKS_PER_SUPER,
 ) -> DataFrame:
@@ -42,8 +44,11 @@ def window_ranks(
     clock never goes back; this opens the same windows as the column itself.
 
     ``seed`` (``source, opened_us, used``) is the window left open by earlier
-    events; it takes part as a row of its own.
+    events; it takes part as a row of its own. ``largest`` is the number of events
+    of the biggest source, if known.
     """
+    spans = spans_for(largest) if spans is None else spans
+    largest = None if largest is None else largest + 1
     width = window if isinstance(window, Column) else F.lit(float(window))
     rows = events.select(
         "source", F.col(order), _micros(F.col(clock)).alias("_clock"), _micros(width).alias("window"),
@@ -62,7 +67,7 @@ def window_ranks(
         "source", order, "window", F.greatest("_seen", "_clock").alias("clock"),
         F.coalesce("ordinal", F.lit(0)).cast("long").alias("ordinal"),
     )
-    marked = chains.anchored(rows, ["source"], order, chains.clock_block(), 0, block_rows, fan)
+    marked = chains.anchored(rows, ["source"], order, chains.clock_block(), 0, block_rows, fan, largest)
     rank = F.col("ordinal") - F.col("anchor")
     if seed is None:
         return marked.select("source", order, F.col("anchor").alias("opened"), rank.alias("rank"))
@@ -78,13 +83,21 @@ def window_ranks(
     )
 
 
-def rate_limit(events: DataFrame, burst, window=DEFAULT_WINDOW_SECONDS, clock: str = "start_ts",
-               order: str = "batch_id", **plan) -> DataFrame:
+def rate_limit(
+    events: DataFrame, burst, window=DEFAULT_WINDOW_SECONDS, clock: str = "start_ts", order: str = "batch_id",
+    stored: bool = False, lazy: bool = False, **plan,
+) -> DataFrame:
     """Add ``passed``: whether the event is among the first ``burst`` of its window.
 
     ``burst`` and ``window`` (seconds) are numbers or Columns of ``events`` that
     are constant per source; a burst of zero or less lets everything pass.
+
+    The events are read by several passes, so they are written once to the shared
+    folder (unless ``stored`` or ``lazy``), where the biggest source is counted.
     """
+    if not lazy and (stored or shared_folder(events.sparkSession)):
+        events = events if stored else cut(events)
+        plan.setdefault("largest", largest_group(events, ["source"]))
     limit = burst if isinstance(burst, Column) else F.lit(int(burst))
     ranks = window_ranks(events, window, clock, order, **plan)
     return (

@@ -35,14 +35,21 @@ def anchored(
     overlap: int = 0,
     block_rows: int = BLOCK_ROWS,
     fan: int = BLOCKS_PER_SUPER,
+    largest: int | None = None,
 ) -> DataFrame:
     """``rows`` (with ``ordinal``) to ``(keys, order, ordinal, anchor)``.
 
     ``block`` is one of the block types of the kernels; ``overlap`` is how many
-    rows after a block it needs to see.
+    rows after a block it needs to see. ``largest`` is the size of the biggest
+    group if it was measured: levels that would have a single member are left out.
     """
     if overlap > block_rows:
         raise ValueError("a block must be at least as long as its overlap")
+    result_type = f"{_fields(rows, [*keys, order])}, ordinal bigint, anchor bigint"
+    if largest is not None and largest <= block_rows:
+        return rows.withColumn("own", F.lit(1)).groupBy(*keys).applyInPandas(
+            kernels.anchors_of_whole(block, keys, order), result_type
+        )
     home = int_div(F.col("ordinal"), block_rows)
     placed = rows.withColumn("block", home).withColumn("own", F.lit(1))
     if overlap:
@@ -58,20 +65,24 @@ def anchored(
     steps = by_block.applyInPandas(
         kernels.steps_of_block(block, keys), f"{key_types}, block bigint, {steps_type}"
     ).withColumn("super", int_div(F.col("block"), fan))
-    supers = steps.groupBy(*keys, "super").applyInPandas(
-        kernels.steps_of_group(keys, "block", "super"), f"{key_types}, super bigint, {steps_type}"
-    )
-    super_states = supers.groupBy(*keys).applyInPandas(
-        kernels.walk_from_start(keys, "super"), f"{key_types}, super bigint, {state_type}"
-    )
-    block_states = (
-        steps.groupBy(*keys, "super")
-        .cogroup(super_states.groupBy(*keys, "super"))
-        .applyInPandas(kernels.walk_from_state(keys, "block"), f"{key_types}, block bigint, {state_type}")
-    )
+    if largest is not None and largest <= block_rows * fan:
+        block_states = steps.groupBy(*keys).applyInPandas(
+            kernels.walk_from_start(keys, "block"), f"{key_types}, block bigint, {state_type}"
+        )
+    else:
+        supers = steps.groupBy(*keys, "super").applyInPandas(
+            kernels.steps_of_group(keys, "block", "super"), f"{key_types}, super bigint, {steps_type}"
+        )
+        super_states = supers.groupBy(*keys).applyInPandas(
+            kernels.walk_from_start(keys, "super"), f"{key_types}, super bigint, {state_type}"
+        )
+        block_states = (
+            steps.groupBy(*keys, "super")
+            .cogroup(super_states.groupBy(*keys, "super"))
+            .applyInPandas(kernels.walk_from_state(keys, "block"), f"{key_types}, block bigint, {state_type}")
+        )
     return by_block.cogroup(block_states.groupBy(*keys, "block")).applyInPandas(
-        kernels.anchors_of_block(block, keys, order),
-        f"{_fields(rows, [*keys, order])}, ordinal bigint, anchor bigint",
+        kernels.anchors_of_block(block, keys, order), result_type
     )
 
 

@@ -31,7 +31,7 @@ def issues_to_events(
         "name string, dsn string, environment string, release string, burst int, window string",
     )
     issues = cut(detect_all(lines, monitors, as_of))
-    batches = sendable(group_batches(issues, keep=("monitor",), materialize=False), issues)
+    batches = sendable(group_batches(issues, keep=("monitor",), stored=True), issues)
     limits = table.select(F.col("name").alias("monitor"), "burst", limiter_window(F.col("window")).alias("seconds"))
     limited = rate_limit(batches.join(limits, "monitor"), F.col("burst"), F.col("seconds"), clock=clock)
     json_names = [m["name"] for m in monitors if format_of(m) == "json"]

@@ -209,16 +209,29 @@ def walk_from_state(keys, part):
 
 def anchors_of_block(block, keys, order):
     """Give every row of a block the ordinal of the row that started its batch."""
+    mark = anchors_of_group(block, keys, order)
 
     def run(pdf, state):
-        columns = [*keys, order, "ordinal", "anchor"]
         if not len(pdf) or not len(state):
-            return pd.DataFrame(columns=columns)
+            return pd.DataFrame(columns=[*keys, order, "ordinal", "anchor"])
+        return mark(pdf, float(state["pos"].iloc[0]), int(state["open"].iloc[0]))
+
+    return run
+
+
+def anchors_of_whole(block, keys, order):
+    """The same for a group that is a single block."""
+    mark = anchors_of_group(block, keys, order)
+    return lambda pdf: mark(pdf, -np.inf, -1)
+
+
+def anchors_of_group(block, keys, order):
+    def run(pdf, pos, begun):
         rows, ordinal, nxt, at, _, _ = block(pdf)
         n = len(ordinal)
-        anchor = np.full(n, int(state["open"].iloc[0]), dtype=np.int64)
+        anchor = np.full(n, begun, dtype=np.int64)
         starts = []
-        i = int(np.searchsorted(at, float(state["pos"].iloc[0]), side="right"))
+        i = int(np.searchsorted(at, pos, side="right"))
         while i < n:
             starts.append(i)
             i = int(nxt[i])

@@ -18,9 +18,17 @@ from emberline.functions.basics import int_div
 # Width of a span in units of the order column, from the finest level upwards.
 SPANS = (1 << 16, 1 << 16)
 
+# A group of at most this many rows may be one window partition.
+PLAIN_ROWS = 1 << 17
+
 LAST, MAX, SUM = "last", "max", "sum"
 
 
+def spans_for(largest: int | None) -> tuple[int, ...]:
+    """No spans for groups measured to be small, the usual ones otherwise."""
+    return () if largest is not None and largest <= PLAIN_ROWS else SPANS
+
+
 def _summary(how: str, value: str, order: str) -> Column:
     if how == LAST:
         return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))

@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FOLDER_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder for intermediate tables, if it names one."""
-    return spark.conf.get(FOLDER_SETTING, None) or None
+    """The cluster's shared folder for intermediate tables, if it names one. A
+    single-machine session without one gets a temporary folder of its own."""
+    folder = spark.conf.get(FOLDER_SETTING, None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="emberline-")
+        spark.conf.set(FOLDER_SETTING, folder)
+    return folder.rstrip("/") if folder else None
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder, for data that must outlive a task."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError(f"set {FOLDER_SETTING} to a folder that all executors share")
+    return f"{folder}/emberline-{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table that several later passes read, and read it back.
+def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Write a table that several later passes read, and read it back (in ``spark``).
 
     Parquet rather than an RDD checkpoint, so that each pass reads only its own
     columns. Survives the loss of executors. Without a shared folder the plan is
     returned as it is: same result, computed again by each pass.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
+    spark = spark or df.sparkSession
+    if shared_folder(spark) is None:
         return df
-    path = f"{folder.rstrip('/')}/emberline-{uuid.uuid4().hex}"
+    path = new_path(spark, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the biggest group; one small aggregation and one number to the driver.
+
+    Meant for stored tables: plans take the short way where groups are known to be
+    small enough for one task, and the long way otherwise.
+    """
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0

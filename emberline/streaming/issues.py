@@ -22,7 +22,7 @@ from emberline.operators.context import context_state
 from emberline.operators.detect import Detector, matched_lines
 from emberline.operators.events import build_events
 from emberline.operators.limits import limiter_state, rate_limit
-from emberline.plans.storage import cut
+from emberline.plans.storage import cut, largest_group
 
 IDLE_SECONDS = 5.0
 
@@ -61,8 +61,6 @@ class IssueStream:
         return f"{self.state}/{name}/epoch={epoch}"
 
     def _load(self, name: str, schema: str, epoch: int) -> DataFrame:
-        if epoch < 0:
-            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._path(name, epoch))
 
     def _save(self, df: DataFrame, name: str, schema: str, epoch: int) -> None:
@@ -74,7 +72,7 @@ class IssueStream:
     def _matched(self, lines: DataFrame, epoch: int) -> DataFrame:
         if not self.detector.related:
             return matched_lines(lines, self.detector, self.exclude, self.as_of)
-        seed = self._load("context", CONTEXT, epoch - 1)
+        seed = self._load("context", CONTEXT, epoch - 1) if epoch > 0 else None
         self._save(context_state(lines, self.detector.match, seed), "context", CONTEXT, epoch)
         return matched_lines(lines, self.detector, self.exclude, self.as_of, seed=seed)
 
@@ -85,38 +83,36 @@ class IssueStream:
         epoch. ``close`` finishes everything.
         """
         now = time.time() if now is None else now
-        fresh = cut(
-            self._matched(lines, epoch)
-            .withColumn("origin", F.col("line_no"))
-            .withColumn("touched", F.lit(now))
-            .select(*[f.split()[0] for f in OPEN_LINES.split(", ")])
-        )
-        before = self._load("open", OPEN_LINES, epoch - 1)
-        idle = F.lit(False) if self.idle is None else F.lit(now) - F.col("touched") >= self.idle
-        # An idle batch was flushed before the new lines came, so they cannot join it.
-        flushed = group_batches(before.filter(idle), keep=("origin",), materialize=False, **self.rule)
-        rows = cut(before.filter(~idle).unionByName(fresh))
-        groups = group_batches(rows, keep=("origin", "touched"), materialize=False, **self.rule)
-        last = groups.groupBy("source").agg(F.max("batch_id").alias("_last"))
+        fields = [f.split()[0] for f in OPEN_LINES.split(", ")]
+        rows = self._matched(lines, epoch).withColumns({"origin": F.col("line_no"), "touched": F.lit(now)})
+        rows, flushed = rows.select(*fields), None
+        if epoch > 0:
+            before = self._load("open", OPEN_LINES, epoch - 1)
+            if self.idle is not None:
+                # An idle batch was flushed before the new lines came, so they cannot join it.
+                idle = F.lit(now) - F.col("touched") >= self.idle
+                flushed = group_batches(before.filter(idle), keep=("origin",), stored=True, **self.rule)
+                before = before.filter(~idle)
+            rows = rows.unionByName(before)
+        # Read back in the main session: a micro-batch's own session has adaptive execution off.
+        rows = cut(rows, self.spark)
+        groups = group_batches(rows, keep=("origin",), stored=True, **self.rule)
+        ends = rows.groupBy("source").agg(F.max("line_no").alias("_end"), F.max("touched").alias("touched"))
         flagged = cut(
-            groups.join(last, "source").withColumn("_open", (F.col("batch_id") == F.col("_last")) & F.lit(not close))
+            groups.join(ends.drop("touched"), "source")
+            .withColumn("_open", (F.col("last_line_no") == F.col("_end")) & F.lit(not close))
         )
         kept = flagged.filter("_open").select("source", "first_line_no")
-        touched = rows.groupBy("source").agg(F.max("touched").alias("touched"))
-        open_lines = (
-            rows.drop("touched").join(kept, "source").filter(F.col("line_no") >= F.col("first_line_no"))
-            .join(touched, "source")
-        )
         # Open lines go before all lines to come: their numbers end at -1.
-        size = open_lines.groupBy("source").agg(F.max("line_no").alias("_end"))
-        placed = open_lines.join(size, "source").withColumn(
-            "line_no",
-            F.col("line_no") - F.col("_end") - 1,
+        placed = (
+            rows.drop("touched").join(kept, "source").filter(F.col("line_no") >= F.col("first_line_no"))
+            .join(ends, "source").withColumn("line_no", F.col("line_no") - F.col("_end") - 1)
         )
         self._save(placed, "open", OPEN_LINES, epoch)
-        finished = flagged.filter("NOT _open").drop("_last", "_open", "touched")
-        order = finished.withColumn("batch_id", F.col("batch_id") + 1)
-        done = flushed.withColumn("batch_id", F.lit(0).cast("long")).select(*order.columns).unionByName(order)
+        done = flagged.filter("NOT _open").drop("_end", "_open")
+        done = done.withColumn("batch_id", F.col("batch_id") + 1)
+        if flushed is not None:
+            done = done.unionByName(flushed.withColumn("batch_id", F.lit(0).cast("long")).select(*done.columns))
         return done.withColumn("first_line_no", F.col("origin")).drop("origin").filter(
             (F.col("message") != "") | F.lit(close)
         )
@@ -126,9 +122,10 @@ class IssueStream:
         done = self.batches(lines, epoch, now, close)
         if self.burst > 0:
             done = cut(done)
-            seed = self._load("limiter", LIMITER, epoch - 1)
-            left = limiter_state(done, self.burst, self.limit_window, seed=seed)
-            limited = rate_limit(done, self.burst, self.limit_window, seed=seed)
+            seed = self._load("limiter", LIMITER, epoch - 1) if epoch > 0 else None
+            known = {"seed": seed, "largest": largest_group(done, ["source"])}
+            left = limiter_state(done, self.burst, self.limit_window, **known)
+            limited = rate_limit(done, self.burst, self.limit_window, lazy=True, **known)
             self._save(left, "limiter", LIMITER, epoch)
             done = limited
         return build_events(done, self.detector)
@@ -136,10 +133,12 @@ class IssueStream:
     # --- running it ---
 
     def start(
-        self, stream: DataFrame, sink: str, checkpoint: str, number: Callable[[DataFrame], DataFrame] | None = None,
+        self, stream: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoint: str,
+        number: Callable[[DataFrame], DataFrame] | None = None,
         available_now: bool = False, every: str = "5 seconds", heartbeat: bool = False,
     ) -> StreamingQuery:
-        """Run over a streaming DataFrame; events of epoch N go to ``sink/epoch=N``.
+        """Run over a streaming DataFrame; events of epoch N go to the folder
+        ``sink/epoch=N``, or to ``sink(events, N)``.
 
         ``number`` gives ``line_no`` to a micro-batch that has none. ``heartbeat``
         adds a clock row a second, so that idle batches are flushed while no line
@@ -154,16 +153,23 @@ class IssueStream:
         def body(batch: DataFrame, epoch: int) -> None:
             lines = batch.filter(~F.col("_tick")).drop("_tick") if heartbeat else batch
             numbered = number(lines) if number else lines
-            self.events(numbered, epoch).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+            self._emit(self.events(numbered, epoch), epoch, sink)
 
         writer = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
         return writer.start()
 
-    def drain(self, epoch: int, sink: str | None = None) -> DataFrame:
+    @staticmethod
+    def _emit(events: DataFrame, epoch: int, sink) -> None:
+        if callable(sink):
+            sink(events, epoch)
+        else:
+            events.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    def drain(self, epoch: int, sink: str | Callable[[DataFrame, int], None] | None = None) -> DataFrame:
         """Finish what is open after the stream has ended (``epoch`` is its last one)."""
         none = self.spark.createDataFrame([], "source string, line_no long, line string")
         rest = self.events(none, epoch + 1, close=True)
         if sink:
-            rest.write.mode("overwrite").parquet(f"{sink}/epoch={epoch + 1}")
+            self._emit(rest, epoch + 1, sink)
         return rest
