@@ -34,8 +34,16 @@ def lines_sql(fmt: str, name: str = "lines") -> str:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that is one small file. A scan that already has at
+    least as many parts as there are cores, as any large table has, is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("events", "documents") else df
 
 
 def lines(spark: SparkSession, sf_dir: str, fmt: str, *keep: str) -> DataFrame:

@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from emberline.catalog import Catalog
-from emberline.catalog.common import LINE_SQL, SECONDS_SQL, UPTIME_SQL, lines, lines_sql, table
+from emberline.catalog.common import SECONDS_SQL, UPTIME_SQL, lines, lines_sql, table
 from emberline.functions.basics import bind
 from emberline.functions.jsonlines import go_value_string, is_json_object, json_object
 from emberline.functions.kernel import dmesg_header, headers_related, strip_dmesg_timestamp
 from emberline.operators import detect as D
 from emberline.operators.metrics import line_counts
-from emberline.plans.fixtures import line_of
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -166,15 +165,9 @@ UNION ALL SELECT 'app', source, line_no, {SECONDS_SQL} FROM i WHERE event_type =
 UNION ALL SELECT 'dmesg', d.source, d.line_no, CASE WHEN event_id % 10 = 9 THEN 0 ELSE {UPTIME_SQL} END
 FROM ({DMESG_CONTEXT_SQL}) d JOIN events ON event_id = d.line_no""")
 def detect_all(spark, sf):
-    events = table(spark, sf, "events")
-    formats = {"web": "nginx", "api": "json", "app": "iso", "dmesg": "dmesg"}
-    per_event = F.array(*[
-        F.struct(F.lit(name).alias("monitor"), line_of(fmt).alias("line")) for name, fmt in formats.items()
-    ])
-    every = events.select(
-        F.concat(F.lit("src"), (F.col("user_id") % 4).cast("string")).alias("source"),
-        F.col("event_id").alias("line_no"), F.inline(per_event),
-    )
-    # The kernel monitor's sources must be its own: the state follows (source, line_no).
+    every = None
+    for name, fmt in (("web", "nginx"), ("api", "json"), ("app", "iso"), ("dmesg", "dmesg")):
+        part = lines(spark, sf, fmt).withColumn("monitor", F.lit(name))
+        every = part if every is None else every.unionByName(part)
     found = D.detect_all(every, MONITORS)
     return found.select("monitor", "source", "line_no", F.col("ts").cast("bigint").alias("ts"))

@@ -18,6 +18,7 @@ This module must not import anything from the package: it is shipped by value.
 """
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -249,7 +250,7 @@ def anchors_of_group(block, keys, order):
 
 # --- small helpers of other modules ----------------------------------------
 
-def patterns_compile(batches):
+def patterns_compile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether each text is a usable regular expression."""
     known = {}
 
