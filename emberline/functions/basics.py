@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,18 @@ def fixed_point(number: Column, decimals: int) -> Column:
     """``%.Nf`` of the exact binary value, ties to even (``format_string`` rounds the
     shortest decimal form up instead)."""
     return F.translate(F.format_number(number, decimals), ",", "")
+
+
+def built_once(fn: Callable) -> Callable:
+    """Keep the Columns a function builds, per JVM and (hashable) arguments. A Column
+    over column names is not tied to a table, and a large one takes a while to build."""
+    known: dict = {}
+
+    @functools.wraps(fn)
+    def cached(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in known:
+            known[key] = fn(*args)
+        return known[key]
+
+    return cached

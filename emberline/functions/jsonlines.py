@@ -67,51 +67,60 @@ def _number_text(number: Column) -> Column:
     Spark prints a double as ``ddd.ddd`` or ``d.dddE±n``; both are taken apart
     into sign, digits and exponent and put together again.
     """
-    def build(s: Column) -> Column:
-        sign = F.regexp_extract(s, r"^(-?)", 1)
+    def take_apart(s: Column) -> Column:
         mantissa = F.regexp_extract(s, r"^-?([0-9.]+)", 1)
-        power = F.coalesce(F.nullif(F.regexp_extract(s, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
-        left = F.substring_index(mantissa, ".", 1)
-        right = F.regexp_replace(F.regexp_extract(mantissa, r"\.(\d*)", 1), "0+$", "")
-        all_digits = F.concat(left, right)
-        lead = F.length(F.regexp_extract(all_digits, "^(0*)", 1))
-        sig = F.regexp_replace(F.regexp_replace(all_digits, "^0+", ""), "0+$", "")
-        exp = F.length(left) - 1 - lead + power
-        n = F.length(sig)
-        plain_big = F.when(
-            n <= exp + 1, F.rpad(sig, exp + 1, F.lit("0"))
-        ).otherwise(F.concat(F.substring(sig, F.lit(1), exp + 1), F.lit("."), F.substring(sig, exp + 2, n)))
-        plain_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), sig)
+        power = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
+        return bind(
+            F.struct(
+                F.substring_index(mantissa, ".", 1).alias("left"),
+                F.regexp_replace(F.regexp_extract(mantissa, r"\.(\d*)", 1), "0+$", "").alias("right"),
+            ),
+            lambda m: F.struct(
+                F.when(s.startswith("-"), "-").otherwise("").alias("sign"),
+                F.regexp_replace(F.concat(m["left"], m["right"]), "^0+|0+$", "").alias("sig"),
+                (
+                    F.length(m["left"]) - 1 + F.coalesce(power, F.lit(0))
+                    - F.length(F.regexp_extract(F.concat(m["left"], m["right"]), "^(0*)", 1))
+                ).alias("exp"),
+            ),
+        )
+
+    def put_together(p: Column) -> Column:
+        sig, exp, n = p["sig"], p["exp"], F.length(p["sig"])
+        shown = F.abs(exp).cast("string")
         scientific = F.concat(
             F.substring(sig, 1, 1),
             F.when(n > 1, F.concat(F.lit("."), F.substring(sig, F.lit(2), n))).otherwise(""),
             F.when(exp < 0, "e-").otherwise("e+"),
-            F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")),
+            F.lpad(shown, F.greatest(F.lit(2), F.length(shown)), F.lit("0")),
         )
         body = (
             F.when(sig == "", F.lit("0"))
             .when((exp < -4) | (exp >= 6), scientific)
-            .when(exp < 0, plain_small)
-            .otherwise(plain_big)
+            .when(exp < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), sig))
+            .when(n <= exp + 1, F.rpad(sig, exp + 1, F.lit("0")))
+            .otherwise(F.concat(F.substring(sig, F.lit(1), exp + 1), F.lit("."), F.substring(sig, exp + 2, n)))
         )
-        return F.concat(sign, body)
+        return F.concat(p["sign"], body)
 
-    return bind(number.cast("string"), build)
+    return bind(bind(number.cast("string"), take_apart), put_together)
 
 
 def go_value_string(obj: Column, key: str) -> Column:
     """The text a field is matched as: strings as they are, ``true``/``false``,
     ``<nil>`` for null, numbers as shortest floats, objects and arrays as JSON."""
-    kind = field_type(obj, key)
-    text = field_text(obj, key)
-    number = F.try_variant_get(obj, _path(key), "double")
-    nested = F.to_json(F.try_variant_get(obj, _path(key), "variant"))
-    return (
-        F.when(kind.isin("STRING", "BOOLEAN"), text)
-        .when(kind == "VOID", F.lit("<nil>"))
-        .when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), _number_text(number))
-        .otherwise(nested)
-    )
+    def shown(kind: Column) -> Column:
+        return (
+            F.when(kind.isin("STRING", "BOOLEAN"), field_text(obj, key))
+            .when(kind == "VOID", F.lit("<nil>"))
+            .when(
+                (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"),
+                _number_text(F.try_variant_get(obj, _path(key), "double")),
+            )
+            .otherwise(F.to_json(F.try_variant_get(obj, _path(key), "variant")))
+        )
+
+    return bind(field_type(obj, key), shown)
 
 
 def json_context(line) -> Column:

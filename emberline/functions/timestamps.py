@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.basics import as_col, bind, digits, fixed_point, found, int_div
+from emberline.functions.basics import as_col, bind, built_once, digits, fixed_point, found, int_div
 from emberline.functions.jsonlines import field_text, field_type, json_object
 
 # Month names, timestamp keys of JSON lines in order of
@@ -144,6 +144,9 @@ def tagged_cascade(line) -> Column:
     )
 
 
+_cascade_of = built_once(tagged_cascade)
+
+
 def tagged_nginx(line) -> Column:
     return F.coalesce(tagged_nginx_error(line), tagged_nginx_access(line))
 
@@ -362,20 +365,28 @@ def bracket_timestamp(message) -> Column:
 
 # --- the staged operators --------------------------------------------------
 
-def with_parsed(df: DataFrame, tagged: Column, as_of=None) -> DataFrame:
+@built_once
+def _steps(as_of) -> tuple[Column, Column, Column, Column]:
+    kind, stamp, dated = F.col("_kind"), F.col("_stamp"), F.col("_dated")
+    return (
+        _micros(_castable(kind, stamp, as_of)),
+        F.when(~kind.isin("d", "f"), _dated_seconds(kind, stamp, F.col("_micros"), as_of)),
+        _seconds(kind, stamp, dated, as_of),
+        _shown(kind, stamp, F.col("ts")),
+    )
+
+
+def with_parsed(df: DataFrame, tagged: Column, as_of: float | None = None) -> DataFrame:
     """Add ``ts`` and ``ts_str`` of a tagged stamp, NULL where there is none.
 
     The same as the ``parse_*`` columns in projection steps: each step is read
     several times by the next, so Spark evaluates it once, in generated code.
     """
-    kind, stamp, dated = F.col("_kind"), F.col("_stamp"), F.col("_dated")
+    micros, dated, ts, ts_str = _steps(as_of)
     return (
         df.withColumn("_tag", tagged)
         .withColumns({"_kind": F.substring("_tag", 1, 1), "_stamp": F.substring("_tag", 2, _REST)})
-        .withColumn("_micros", _micros(_castable(kind, stamp, as_of)))
-        .withColumn("_dated", F.when(~kind.isin("d", "f"), _dated_seconds(kind, stamp, F.col("_micros"), as_of)))
-        .withColumn("ts", _seconds(kind, stamp, dated, as_of))
-        .withColumn("ts_str", _shown(kind, stamp, F.col("ts")))
+        .withColumn("_micros", micros).withColumn("_dated", dated).withColumn("ts", ts).withColumn("ts_str", ts_str)
         .drop("_tag", "_kind", "_stamp", "_micros", "_dated")
     )
 
@@ -384,6 +395,6 @@ def with_timestamps(df: DataFrame, detector=None, as_of=None, line: str = "line"
     """Add ``ts`` and ``ts_str``: the detector's own format first, then the cascade,
     else ``0.0`` and ``''``."""
     own = getattr(detector, "stamp", None)
-    cascade = tagged_cascade(line)
+    cascade = _cascade_of(line)
     parsed = with_parsed(df, F.coalesce(own(F.col(line)), cascade) if own else cascade, as_of)
     return parsed.fillna({"ts": 0.0, "ts_str": ""})

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.text import format_duration
-from emberline.plans.ordered import LAST, SPANS, running
+from emberline.plans.ordered import LAST, running
 
 
 def inactivity(
     lines: DataFrame, max_silence: float, clock: str = "ts", order: str = "line_no", as_of: float | None = None,
-    spans: tuple[int, ...] = SPANS,
+    spans: tuple[int, ...] | None = None,
 ) -> DataFrame:
     """``(source, alert_type, level, at, silence, message)``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.kernel import headers_related
 from emberline.functions.timestamps import dmesg_seconds, dmesg_stamp
-from emberline.plans.ordered import LAST, SPANS, running
+from emberline.plans.ordered import LAST, running
 
 RELATED_SECONDS = 5.0
 
@@ -30,7 +30,7 @@ def _staged(lines: DataFrame, is_error) -> DataFrame:
 
 
 def mark_context(
-    lines: DataFrame, is_error, spans: tuple[int, ...] = SPANS, seed: DataFrame | None = None
+    lines: DataFrame, is_error, spans: tuple[int, ...] | None = None, seed: DataFrame | None = None
 ) -> DataFrame:
     """Add ``detected``: error lines, and lines that belong to the last error.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.plans.ordered import MAX, SPANS, running
+from emberline.plans.ordered import MAX, running, spans_for
+from emberline.plans.storage import cut, largest_group, shared_folder
 
 BUCKET_SECONDS = 3600.0
 SALTS = 16
@@ -13,7 +14,7 @@ SALTS = 16
 
 def asof_times(
     left: DataFrame, right: DataFrame, key: str, time: str, name: str = "matched_time",
-    bucket_seconds: float = BUCKET_SECONDS, salts: int = SALTS, spans: tuple[int, ...] = SPANS,
+    bucket_seconds: float = BUCKET_SECONDS, salts: int = SALTS, spans: tuple[int, ...] | None = None,
 ) -> DataFrame:
     """Add to ``left`` the ``time`` (DOUBLE seconds) of the latest ``right`` row of the
     same key at or before it, NULL when there is none.
@@ -36,6 +37,9 @@ def asof_times(
         )
         .groupBy(key, "_bucket").agg(F.max("_top").alias("_top"))
     )
+    if spans is None and shared_folder(left.sparkSession) is not None:
+        per_bucket = cut(per_bucket)
+        spans = spans_for(largest_group(per_bucket, [key]))
     before = running(per_bucket, [key], "_bucket", {"_carry": (MAX, "_top")}, spans)
     candidates = (
         times.select(key, "_bucket", F.col("_time").alias("_at"), "_time")

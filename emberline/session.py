@@ -36,6 +36,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "embe
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording the call site of every Column makes building large ones slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**REQUIRED, **ADAPTIVE}.items():
         builder = builder.config(key, value)
