@@ -16,34 +16,32 @@ MAX_LINES = 1000
 MAX_BYTES = 256 * 1024
 
 
-def ordered_lines(line: str = "line", order: str = "line_no") -> Column:
-    """Aggregate: the lines of a (bounded) group in order, as an array."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t"))))
-    return F.transform(pairs, lambda p: p["t"])
+def ordered_rows(*columns: str, order: str = "line_no") -> Column:
+    """Aggregate: the rows of a (bounded) group in order, as an array of structs."""
+    return F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *columns)))
 
 
-def ordered_concat(line: str = "line", order: str = "line_no", separator: str = "\n") -> Column:
-    return F.array_join(ordered_lines(line, order), separator)
-
-
-def first_of(column: str, order: str = "line_no") -> Column:
-    """Aggregate: a column of the group's first line."""
-    return F.min_by(column, order)
+def ordered_concat(rows: Column, field: str = "line", separator: str = "\n") -> Column:
+    """Texts of ``ordered_rows`` joined in order."""
+    return F.array_join(F.transform(rows, lambda r: r[field]), separator)
 
 
 def _collect(grouped, keep: tuple[str, ...] = ()) -> DataFrame:
-    batches = grouped.agg(
-        *[first_of(c).alias(c) for c in keep],
-        F.min("line_no").alias("first_line_no"),
-        F.max("line_no").alias("last_line_no"),
-        first_of("ts").alias("start_ts"),
-        first_of("ts_str").alias("ts_str"),
-        first_of("line").alias("first_line"),
-        F.count(F.lit(1)).alias("n_lines"),
-        (F.sum("n_bytes") + F.count(F.lit(1)) - 1).alias("n_bytes"),
-        ordered_lines().alias("lines"),
+    """One collected array per batch; the caps bound its size. What the first line
+    decides is read from the array rather than aggregated beside it."""
+    first, rows = F.col("_rows")[0], F.col("_rows")
+    return (
+        grouped.agg(ordered_rows("line", "ts", "ts_str", *keep).alias("_rows"))
+        .withColumn("lines", F.transform(rows, lambda r: r["line"]))
+        .withColumn("message", F.array_join("lines", "\n"))
+        .select(
+            "source", "batch_id", *[first[c].alias(c) for c in keep],
+            first["at"].alias("first_line_no"), F.element_at(rows, -1)["at"].alias("last_line_no"),
+            first["ts"].alias("start_ts"), first["ts_str"].alias("ts_str"), first["line"].alias("first_line"),
+            F.size(rows).cast("long").alias("n_lines"), F.octet_length("message").cast("long").alias("n_bytes"),
+            "lines", "message",
+        )
     )
-    return batches.withColumn("message", F.array_join("lines", "\n"))
 
 
 def _stored(df: DataFrame, keys: list[str], stored: bool, lazy: bool) -> tuple[DataFrame, int | None]:
@@ -139,9 +137,9 @@ def group_by_timestamp(
     return (
         numbered.withColumn("part", int_div(F.col("ordinal"), flush_lines))
         .groupBy("source", "ts_key", "part")
-        .agg(
-            F.count(F.lit(1)).alias("line_count"),
-            F.min("line_no").alias("first_line_no"),
-            ordered_lines().alias("lines"),
+        .agg(ordered_rows("line").alias("_rows"))
+        .select(
+            "source", "ts_key", "part", F.size("_rows").cast("long").alias("line_count"),
+            F.col("_rows")[0]["at"].alias("first_line_no"), F.transform("_rows", lambda r: r["line"]).alias("lines"),
         )
     )
