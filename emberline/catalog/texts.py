@@ -41,7 +41,7 @@ DOCUMENT_WORDS_SQL = """SELECT doc_id AS id, generate_subscripts(ws, 1) AS i, un
 @add("sanitize_documents", f"WITH {walk_sql(DOCUMENT_WORDS_SQL)}")
 def sanitize_documents(spark, sf):
     words = F.filter(F.split("text", "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "")
-    docs = table(spark, sf, "documents").filter(F.size(words) > 0)
+    docs = table(spark, sf, "documents").filter(F.col("text").rlike("[^ \\t\\n\\x0b\\f\\r]"))
     return docs.select(F.col("doc_id").alias("id"), R.sanitize_command(words).alias("command"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberline.functions.basics import as_col
+from emberline.functions.basics import as_col, bind
 
 # Flags whose next argument is always hidden, whole-word names,
 # name endings, and the replacement text.
@@ -37,15 +37,18 @@ def _name(char: str) -> str:
     return rf"-*(?:{_WHOLE}|(?:{char}*[-_.])?{_BOUNDED}|{char}*[-_.]key)"
 
 
-# "(?<![^\x00])" is the start of an argument.
+# A match begins at the start of an argument and leaves the separator after the
+# hidden value in place, so that the next argument can begin a match of its own.
 STRICT_RULE = (
-    rf"(?i)(?<![^\x00])({_name('[^\\x00=]')}=|{_STRICT}=|{_STRICT}\x00"
-    rf"|{_name('[^\\x00=]')}\x00(?!-))[^\x00]*"
+    rf"(?i)((?:^|\x00)(?:{_name('[^\\x00=]')}=|{_STRICT}=|{_STRICT}\x00"
+    rf"|{_name('[^\\x00=]')}\x00(?!-)))[^\x00]*"
 )
 LOOSE_RULE = (
-    rf"(?<![^\x00])(-*(?i:[^\x00=]*(?:{'|'.join(LOOSE_ENDINGS)})|{_WHOLE})="
-    rf"|{_LOOSE}=|{_LOOSE}\x00)[^\x00]*"
+    rf"((?:^|\x00)(?:-*(?i:[^\x00=]*(?:{'|'.join(LOOSE_ENDINGS)})|{_WHOLE})="
+    rf"|{_LOOSE}=|{_LOOSE}\x00))[^\x00]*"
 )
+# Every rule needs one of these words, so most command lines are done after one scan.
+ANY_NAME = "(?i)key|auth|" + "|".join(BOUNDED_ENDINGS)
 SENSITIVE_KEY = rf"(?i)^(?:{_WHOLE}|(?:.*[-_.])?{_BOUNDED}|.*[-_.]key)$"
 
 
@@ -61,9 +64,12 @@ def sanitize_command(args, mode: str = "strict") -> Column:
     ``loose`` takes bare endings and only hides after the fixed flags.
     """
     rule = {"strict": STRICT_RULE, "loose": LOOSE_RULE}[mode]
-    joined = F.array_join(as_col(args), "\x00")
-    hidden = F.regexp_replace(joined, rule, "$1" + REDACTED.replace("$", r"\$"))
-    return F.translate(hidden, "\x00", " ")
+
+    def hide(joined: Column) -> Column:
+        hidden = F.regexp_replace(joined, rule, "$1" + REDACTED)
+        return F.translate(F.when(joined.rlike(ANY_NAME), hidden).otherwise(joined), "\x00", " ")
+
+    return bind(F.array_join(as_col(args), "\x00"), hide)
 
 
 def split_words(text) -> Column:
