@@ -11,10 +11,11 @@ from emberline.operators import events as E
 from emberline.operators import limits as L
 from emberline.operators.alerts import inactivity
 from emberline.operators.detect import detector_for, generic_detector, mark_detected, mark_excluded, matched_lines
-from emberline.operators.metrics import last_activity, source_metrics
+from emberline.operators.metrics import last_activity, metrics_rows, source_metrics
 from emberline.plans.fixtures import epoch_seconds
 from emberline.plans.flow import issues_to_events
-from emberline.sources.sinks import pending
+from emberline.plans.storage import new_path
+from emberline.sources.sinks import pending, read_events, write_events
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -225,6 +226,35 @@ def source_metrics_query(spark, sf):
     return source_metrics(marked, L.rate_limit(batches, burst=2, window=6 * HOUR))
 
 
+METRIC_ROWS_SQL = " UNION ALL ".join(
+    f"SELECT source, '{metric}' AS metric, '{status}' AS status, CAST({column} AS DOUBLE) AS value FROM wide"
+    for metric, status, column in (
+        ("processed_lines_total", "", "processed_lines"), ("issues_detected_total", "", "issues_detected"),
+        ("events_total", "sent", "events_sent"), ("events_total", "dropped", "events_dropped"),
+    )
+)
+
+
+@add("metrics_rows", CATALOG.sql["source_metrics"].replace("SELECT * FROM c JOIN v USING (source)", f""",
+wide AS (SELECT * FROM c JOIN v USING (source)) {METRIC_ROWS_SQL}"""))
+def metrics_rows_query(spark, sf):
+    return metrics_rows(source_metrics_query(spark, sf))
+
+
+QUIET_MATCHED = f"""SELECT 'src' || (user_id % 4) AS source, event_id AS line_no, CAST({SECONDS_SQL} AS DOUBLE) AS ts,
+  CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS line, strlen(CASE WHEN event_type = 'view' THEN '' ELSE event_type END) AS n_bytes FROM events"""
+
+
+@add("sendable_batches", batch_sql(300, 1000, 262144, QUIET_MATCHED) + """
+SELECT source, batch_id, message FROM b WHERE message <> '' OR last_line_no = (SELECT max(last_line_no) FROM b x WHERE x.source = b.source)""")
+def sendable_batches(spark, sf):
+    quiet = lines(spark, sf, "iso", "ts", "event_type").select(
+        "source", "line_no", epoch_seconds().cast("double").alias("ts"), F.lit("").alias("ts_str"),
+        F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("line"),
+    ).withColumn("n_bytes", F.octet_length("line").cast("long"))
+    return B.sendable(B.group_batches(quiet, window=300.0), quiet).select("source", "batch_id", "message")
+
+
 @add("last_activity", """
 SELECT 'src' || (user_id % 4) AS source, max(ts) AS last_activity FROM events GROUP BY 1""")
 def last_activity_query(spark, sf):
@@ -259,6 +289,25 @@ def tenant_routing(spark, sf):
     return E.route(events, monitor_table(spark, sf), "https://g@h/0", "production", "v1")
 
 
+@add("event_sink", """
+SELECT CASE WHEN c_nationkey % 3 = 0 THEN 'h_0' ELSE 'h_' || c_nationkey END AS tenant, count(*) AS n, sum(c_custkey) AS total
+FROM customer GROUP BY 1""")
+def event_sink(spark, sf):
+    nation = F.col("n_nationkey").cast("string")
+    monitors = table(spark, sf, "nation").select(
+        F.concat(F.lit("n"), nation).alias("name"), F.lit("").alias("environment"), F.lit("").alias("release"),
+        F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.concat(F.lit("https://k@h/"), nation)).alias("dsn"),
+    )
+    events = table(spark, sf, "customer").select(
+        "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("monitor")
+    )
+    path = new_path(spark, "events")
+    write_events(E.route(events, monitors, "https://g@h/0"), path)
+    return read_events(spark, path).groupBy(F.col("tenant").cast("string").alias("tenant")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("total")
+    )
+
+
 @add("retry_dlq", """
 SELECT DISTINCT sha256(CAST(event_id AS VARCHAR)) AS event_id, CAST(event_id AS VARCHAR) AS payload FROM events
 WHERE event_type = 'error' AND event_id NOT IN (SELECT event_id FROM events WHERE user_id % 3 = 0)""")
