@@ -4,10 +4,8 @@ equal the batch operators'."""
 from pyspark.sql import functions as F
 
 from emberline.catalog import Catalog
-from emberline.catalog.common import SECONDS_SQL, anchored_sql, lines, lines_sql, windows_sql
-from emberline.catalog.detection import DMESG_CONTEXT_SQL, NGINX_SQL
+from emberline.catalog.common import lines, windows_sql
 from emberline.catalog.grouping import CATALOG as GROUPING
-from emberline.catalog.grouping import DMESG_MATCHED, NGINX_MATCHED
 from emberline.operators.detect import detector_for
 from emberline.plans.fixtures import epoch_seconds
 from emberline.plans.storage import new_path
@@ -17,19 +15,20 @@ from emberline.streaming.silence import SilenceStream
 CATALOG = Catalog()
 add = CATALOG.add
 
-FILES = 3
+EPOCHS = 3
+FILES_PER_EPOCH = 4
 LINES = "source string, line_no long, line string"
 
 
 def feed(spark, df, path, schema):
-    """The lines as files in order of ``line_no``, then as a stream of one file per trigger."""
+    """The lines as files in order of ``line_no``, then as a stream of some files per trigger."""
     top = df.agg(F.max("line_no")).first()[0]
-    for part in range(FILES):
-        piece = df.filter(F.floor(F.col("line_no") * FILES / (top + 1)) == part)
-        piece.coalesce(1).write.mode("append").parquet(f"{path}/in/part={part}")
+    for epoch in range(EPOCHS):
+        piece = df.filter(F.floor(F.col("line_no") * EPOCHS / (top + 1)) == epoch)
+        piece.repartition(FILES_PER_EPOCH).write.parquet(f"{path}/in/part={epoch}")
     return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-        .parquet(f"{path}/in")
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_EPOCH)
+        .option("recursiveFileLookup", "true").parquet(f"{path}/in")
     )
 
 
