@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from emberline.catalog import Catalog
 from emberline.catalog.common import SECONDS_SQL, UPTIME_SQL, anchored_sql, lines, lines_sql, table, windows_sql
 from emberline.catalog.detection import DMESG_CONTEXT_SQL, NGINX_SQL
-from emberline.functions.timestamps import extract_timestamp_key
 from emberline.operators import batches as B
 from emberline.operators import events as E
 from emberline.operators import limits as L

@@ -29,15 +29,16 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{folder}/emberline-{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def cut(df: DataFrame, spark: SparkSession | None = None, required: bool = False) -> DataFrame:
     """Write a table that several later passes read, and read it back (in ``spark``).
 
     Parquet rather than an RDD checkpoint, so that each pass reads only its own
     columns. Survives the loss of executors. Without a shared folder the plan is
-    returned as it is: same result, computed again by each pass.
+    returned as it is: same result, computed again by each pass. ``required`` is
+    for what must not be computed again, and raises instead.
     """
     spark = spark or df.sparkSession
-    if shared_folder(spark) is None:
+    if not required and shared_folder(spark) is None:
         return df
     path = new_path(spark, "table")
     df.write.parquet(path)

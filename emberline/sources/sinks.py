@@ -51,11 +51,13 @@ def _attempt(send: Sender):
 def deliver(payloads: DataFrame, send: Sender) -> DataFrame:
     """Send ``(event_id, payload)`` rows from the tasks; adds ``delivered``.
 
-    The outcome is written once before it is read, so that no event is sent again
-    because a later step asks for it twice.
+    The outcome is written to the shared folder once before it is read, so that no
+    event is sent again because a later step asks for it twice. A task that is lost
+    may send its events again; the event id tells repeats apart.
     """
     narrow = payloads.select("event_id", "payload")
-    return cut(narrow.mapInPandas(_attempt(send), "event_id string, payload string, delivered boolean"))
+    tried = narrow.mapInPandas(_attempt(send), "event_id string, payload string, delivered boolean")
+    return cut(tried, required=True)
 
 
 def write_with_dlq(payloads: DataFrame, send: Sender, receipts: str, dlq: str) -> None:
