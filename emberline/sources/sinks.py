@@ -57,7 +57,7 @@ def deliver(payloads: DataFrame, send: Sender) -> DataFrame:
     """
     narrow = payloads.select("event_id", "payload")
     tried = narrow.mapInPandas(_attempt(send), "event_id string, payload string, delivered boolean")
-    return cut(tried, required=True)
+    return cut(tried)
 
 
 def write_with_dlq(payloads: DataFrame, send: Sender, receipts: str, dlq: str) -> None:
