@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from emberline.catalog import Catalog
-from emberline.llm import tokens
+from emberline.llm import decontaminate, lines, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -14,3 +14,13 @@ CATALOG = Catalog()
 @CATALOG.add("op9_token_counts")
 def op9_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@CATALOG.add("op3_decontaminate")
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@CATALOG.add("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    return lines.quality_rules(table(spark, sf_dir, "documents"))
