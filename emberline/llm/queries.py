@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from emberline.catalog import Catalog
-from emberline.llm import decontaminate, lines, tokens
+from emberline.llm import decontaminate, lines, mixing, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -24,3 +24,8 @@ def op3_decontaminate(spark, sf_dir):
 @CATALOG.add("op8_quality_rules")
 def op8_quality_rules(spark, sf_dir):
     return lines.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.add("op5_mix_sources")
+def op5_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
