@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from emberline.catalog import Catalog
-from emberline.llm import decontaminate, lines, mixing, tokens
+from emberline.llm import decontaminate, lines, mixing, quality, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -29,3 +29,8 @@ def op8_quality_rules(spark, sf_dir):
 @CATALOG.add("op5_mix_sources")
 def op5_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.add("op7_quality_scores")
+def op7_quality_scores(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
