@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from emberline.catalog import Catalog
-from emberline.llm import decontaminate, lines, mixing, quality, tokens
+from emberline.llm import decontaminate, licenses, lines, mixing, quality, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -34,3 +34,8 @@ def op5_mix_sources(spark, sf_dir):
 @CATALOG.add("op7_quality_scores")
 def op7_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@CATALOG.add("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
