@@ -9,6 +9,7 @@ from emberline.functions.basics import int_div
 from emberline.functions.timestamps import extract_timestamp_key
 from emberline.plans import chains
 from emberline.plans.ordered import spans_for, with_ordinals
+from emberline.plans.joins import join_keys
 from emberline.plans.storage import cut, largest_group, shared_folder
 
 WINDOW_SECONDS = 5.0
@@ -93,7 +94,7 @@ def group_batches(
     """
     issues = matched.select("source", "line_no", "line", "ts", "ts_str", "n_bytes", *keep)
     issues, largest = _stored(issues, ["source"], stored, lazy)
-    joined = issues.join(assign_batches(issues, largest=largest, **rule), ["source", "line_no"])
+    joined = join_keys(issues, assign_batches(issues, largest=largest, **rule), ["source", "line_no"])
     return _collect(joined.groupBy("source", "batch_id"), keep)
 
 
@@ -102,7 +103,7 @@ def sendable(batches: DataFrame, matched: DataFrame) -> DataFrame:
     sends an empty text. ``matched`` are the lines the batches were made of."""
     ends = matched.groupBy("source").agg(F.max("line_no").alias("_end"))
     return (
-        batches.join(ends, "source")
+        join_keys(batches, ends, ["source"])
         .filter((F.col("message") != "") | (F.col("last_line_no") == F.col("_end")))
         .drop("_end")
     )

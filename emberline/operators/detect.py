@@ -61,7 +61,14 @@ def java_pattern(pattern: str) -> str:
     """A pattern in RE2 spelling for the JVM: group names, character classes, and
     only ``\\n`` as a line end."""
     named = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    classes = re.sub(r"\[:(\^?)(\w+):\]", lambda m: rf"\{'P' if m[1] else 'p'}{{{_CLASS_NAMES[m[2]]}}}", named)
+    def java_class(m: re.Match) -> str:
+        if m[2] == "word":
+            return r"\W" if m[1] else r"\w"
+        if m[2] not in _CLASS_NAMES:
+            raise ValueError(f"unknown character class {m[0]} in {pattern!r}")
+        return rf"\{'P' if m[1] else 'p'}{{{_CLASS_NAMES[m[2]]}}}"
+
+    classes = re.sub(r"\[:(\^?)(\w+):\]", java_class, named)
     return "(?d)" + classes
 
 

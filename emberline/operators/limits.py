@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions.text import parse_duration
 from emberline.plans import chains
 from emberline.plans.ordered import MAX, SUM, running, spans_for
+from emberline.plans.joins import join_keys
 from emberline.plans.storage import cut, largest_group, shared_folder
 
 DEFAULT_WINDOW_SECONDS = 1.0
@@ -101,7 +102,7 @@ def rate_limit(
     limit = burst if isinstance(burst, Column) else F.lit(int(burst))
     ranks = window_ranks(events, window, clock, order, **plan)
     return (
-        events.join(ranks, ["source", order])
+        join_keys(events, ranks, ["source", order])
         .withColumn("passed", (limit <= 0) | (F.col("rank") < limit))
         .drop("rank", "opened")
     )
@@ -111,9 +112,8 @@ def limiter_state(events: DataFrame, burst: int, window=DEFAULT_WINDOW_SECONDS,
                   order: str = "batch_id", seed: DataFrame | None = None, **plan) -> DataFrame:
     """``(source, opened_us, used)``: the window left open after these events."""
     ranks = window_ranks(events, window, clock, order, seed=seed, **plan)
-    rows = events.select("source", F.col(order), _micros(F.col(clock)).alias("_clock")).join(
-        ranks, ["source", order]
-    )
+    clocks = events.select("source", F.col(order), _micros(F.col(clock)).alias("_clock"))
+    rows = join_keys(clocks, ranks, ["source", order])
     windows = rows.groupBy("source", "opened").agg(
         F.min_by("_clock", order).alias("_first"), (F.max("rank") + 1).alias("_used"), F.min("rank").alias("_low")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.basics import int_div
+from emberline.plans.joins import join_keys
 from emberline.plans.storage import cut, shared_folder
 
 # Width of a span in units of the order column, from the finest level upwards.
@@ -97,7 +98,7 @@ def running(
         tuple(above),
     ).drop(*value)
     window = Window.partitionBy(*keys, span).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return divided.join(carries, [*keys, span]).withColumns(
+    return join_keys(divided, carries, [*keys, span]).withColumns(
         {out: _merge(how, _before(how, col, window), F.col(c)) for c, (out, (how, col)) in zip(carry, outputs)}
     ).drop(span, *carry)
 
