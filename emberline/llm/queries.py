@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from emberline.catalog import Catalog
-from emberline.llm import decontaminate, licenses, lines, mixing, quality, tokens
+from emberline.llm import decontaminate, licenses, lines, mixing, quality, sql, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -16,12 +16,12 @@ def op9_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@CATALOG.add("op3_decontaminate")
+@CATALOG.add("op3_decontaminate", sql.OP3)
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@CATALOG.add("op8_quality_rules")
+@CATALOG.add("op8_quality_rules", sql.OP8)
 def op8_quality_rules(spark, sf_dir):
     return lines.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -36,6 +36,6 @@ def op7_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@CATALOG.add("op10_license_scan")
+@CATALOG.add("op10_license_scan", sql.OP10)
 def op10_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
