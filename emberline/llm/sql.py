@@ -59,3 +59,15 @@ s AS (SELECT doc_id, n, license, 2.0 * len(list_intersect(u.g, t.g)) / (len(u.g)
 best AS (SELECT doc_id, count(DISTINCT n) AS n, max(struct_pack(d := dice, l := license)) AS b FROM s WHERE dice >= 0.8 GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_units, b.l AS license, CAST(coalesce(b.d, 0) AS DOUBLE) AS dice
 FROM documents d LEFT JOIN best USING (doc_id)"""
+
+_W1 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_W1} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)"""
