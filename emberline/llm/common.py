@@ -72,10 +72,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(1 << (n - 1).bit_length(), b, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0], _POWERS[1]
+
+
+def text_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hash of each word of ``split_words``, whole text at once: differences of a
+    running polynomial over the bytes."""
+    a = np.frombuffer((text or b"").lower(), np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[a], prepend=True, append=True))
+    if not len(edge):
+        return np.empty(0, np.uint64)
+    up, down = _powers(len(a))
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
+    first, end = edge[::2], edge[1::2]
+    return mix64((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+
+
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """64-bit hash of each run of ``width`` words, in text order; one of the whole
     sequence if there are fewer, none without words."""
-    h = word_hashes(words)
     width = min(width, len(h))
     if not width:
         return h

@@ -18,21 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from emberline.llm.common import as_bytes, narrow, shingle_hashes, split_words
+from emberline.llm.common import as_bytes, narrow, shingle_hashes, text_hashes
 from emberline.llm.components import components
 from emberline.plans.storage import Tables, cut
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Shingles first in this many classes come last in the order; so many of them at most. Any
+#: Shingles first in this many documents come last in the order; so many of them at most. Any
 #: choice gives the same links, it only keeps the tiles small.
 FREQUENT, MAX_FREQUENT = 200, 1_000_000
-#: Words of 64 bits in a bitmap, members of one sub-tile, and the ratio of size bands (a little
-#: over 5/4, so that linked sizes are in the same or the next band).
-BITMAP, TILE, BAND = 16, 512, 1.2501
+#: Members of one sub-tile, and the ratio of size bands (a little over 5/4, so that linked sizes
+#: are in the same or the next band).
+TILE, BAND = 512, 1.2501
 
 
 def shingles(data: bytes | None) -> np.ndarray:
-    return np.unique(shingle_hashes(split_words(data), WIDTH))
+    return np.unique(shingle_hashes(text_hashes(data), WIDTH))
 
 
 def class_of(found: np.ndarray) -> bytes:
@@ -51,9 +51,10 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Parity of the members that fall on each bit: two bitmaps differ in no more bits than
-    the sets differ in members."""
-    ones = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    """Parity of the members that fall on each bit, a bit or more a member: two bitmaps differ in
+    no more bits than the sets differ in members. Halves can be folded, as widths are powers of 2."""
+    width = max(512, 1 << (len(found) - 1).bit_length())
+    ones = np.bincount((found % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(ones.astype(np.uint8)).view(np.uint64)
 
 
@@ -62,80 +63,76 @@ def enough(overlap, a, b):
     return DENOMINATOR * overlap >= NUMERATOR * (a + b - overlap)
 
 
-def _map(docs: DataFrame, schema: str, arrow: list, row) -> DataFrame:
-    """``doc_id`` and ``row(text)`` of each document."""
+def _map(docs: DataFrame, carry: str, schema: str, arrow: list, row) -> DataFrame:
+    """The column ``carry`` and ``row(set)`` of each document."""
     names = [f.split()[0] for f in schema.split(", ")]
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = dict(docs.dtypes)[carry]
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*map(row, as_bytes(batch.column(1))), strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, arrow)], names=["doc_id", *names])
+            rows = [row(shingles(x)) for x in as_bytes(batch.column(1))]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, arrow)], names=[carry, *names])
 
-    return narrow(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
+    return narrow(docs, carry, "text").mapInArrow(run, f"{carry} {kind}, {schema}")
 
 
-def _class_rows(docs: DataFrame) -> DataFrame:
-    def row(data):
-        found = shingles(data)
-        return len(found), class_of(found)
-
-    return _map(docs, "n long, cls binary", [pa.int64(), pa.binary()], row)
-
-
-def _representatives(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Texts of the chosen ``doc_id, cls``; equal ids are told apart by the class later."""
-    return docs.select("doc_id", "text").join(chosen.select(F.col("doc_id").alias("rid"), F.col("cls").alias("want")),
-                                              F.col("doc_id").eqNullSafe(F.col("rid")))
+def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``cls, n, key`` of each entry in a document's prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    rows = _map(docs, "doc_id", "cls binary, n long, keys array<long>", [pa.binary(), pa.int64(), pa.list_(pa.int64())],
+                lambda found: (class_of(found), len(found), prefix(found, shared.value).view(np.int64)))
+    return rows.select("cls", "n", F.explode("keys").alias("key"))
 
 
-def _per_class(texts: DataFrame, schema: str, arrow: list, row) -> DataFrame:
-    """``cls`` and ``row(set)`` of each representative, once."""
-    names = [f.split()[0] for f in schema.split(", ")]
+def _class_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``cls, text, bits`` of the chosen ``cls, doc_id``. Rows that share an id are told apart by
+    their class; equal rows of one task are taken once."""
+    rows = docs.select("doc_id", "text").join(
+        chosen.select(F.col("doc_id").alias("rid"), "cls"), F.col("doc_id").eqNullSafe(F.col("rid"))
+    ).select("text", "cls")
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            rows = []
-            for data, want in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            keep, bits = [], []
+            for data, cls in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 found = shingles(data)
-                if class_of(found) == want:
-                    rows.append((want, *row(found)))
-            columns = zip(*rows, strict=True) if rows else [[]] * (len(names) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), *arrow], strict=True)], names=["cls", *names])
+                keep.append(cls not in seen and class_of(found) == cls)
+                if keep[-1]:
+                    seen.add(cls)
+                    bits.append(bitmap(found).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(keep, pa.bool_())).columns, pa.array(bits, pa.binary())], names=["text", "cls", "bits"])
 
-    return texts.select("text", "want").mapInArrow(run, f"cls binary, {schema}")
+    return rows.mapInArrow(run, "text string, cls binary, bits binary")
 
 
-def _keys(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    rows = _per_class(texts, "n long, keys array<long>", [pa.int64(), pa.list_(pa.int64())],
-                      lambda found: (len(found), prefix(found, shared.value).view(np.int64)))
-    return rows.select("cls", "n", F.explode("keys").alias("key"))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` whose sets are similar enough."""
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` whose sets are similar enough. Texts travel, as they are smaller than
+    their sets; the rows of one ``u`` come one after the other, so its set is made once."""
     def run(batches):
+        last, x = None, None
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for u, a, b in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+                if u != last:
+                    last, x = u, shingles(a)
+                y = shingles(b)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 keep.append(bool(enough(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("cls").alias("u"), F.col("members").alias("a"))
-    right = sets.select(F.col("cls").alias("v"), F.col("members").alias("b"))
-    # the many members of one hub are dealt by their own class first; the hub side is salted by it
+    left = texts.select(F.col("cls").alias("u"), F.col("text").alias("a"))
+    right = texts.select(F.col("cls").alias("v"), F.col("text").alias("b"))
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
 def _tile_pairs(rows: list) -> list[tuple[bytes, bytes]]:
     """Pairs of one sub-tile that the sizes and bitmaps let through, each in one band only."""
     cls, n, root, bits, band, half = (np.array(c, dtype=k) for c, k in zip(zip(*rows, strict=True), (object, np.int64, object, object, np.int64, np.int64), strict=True))
-    maps = np.frombuffer(b"".join(bits), np.uint64).reshape(len(n), -1)
+    least = min(map(len, bits)) // 8
+    maps = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least), 0) for x in bits])
     top, split, out = band.max(), half.max() != half.min(), []
     for i in range(len(n) - 1):
         j = np.arange(i + 1, len(n))
@@ -149,7 +146,7 @@ def _tile_pairs(rows: list) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def _across(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidate pairs between members of different components in the same tile."""
     rows = (
         shared.join(roots, F.col("cls") == F.col("node"), "left")
@@ -162,7 +159,7 @@ def _across(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = (
         rows.join(tiles, ["key", "top"]).withColumn("mine", mine).withColumn("other", other)
-        .join(sets.select("cls", "bits"), "cls")
+        .join(texts.select("cls", "bits"), "cls")
         .select("key", "top", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "cls", "n", "root", "bits", "band", "mine")
     )
     tile = ["key", "top", "lo", "hi"]
@@ -193,28 +190,24 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     words (null, empty) link with nothing. Rows with equal texts are linked, equal ids or not; a
     null id is never the smallest unless all ids of the group are null. Other columns are not read.
     """
-    spark = docs.sparkSession
-    kept = Tables(spark)
-    rows = kept.cut(_class_rows(docs))
+    kept = Tables(docs.sparkSession)
+    docs = narrow(docs, "doc_id", "text")
+    rows = kept.cut(_map(docs, "doc_id", "n long, cls binary", [pa.int64(), pa.binary()], lambda found: (len(found), class_of(found))))
     reps = kept.cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    texts = _representatives(docs, reps)
-    often = _keys(texts, np.array([], np.uint64)).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > FREQUENT)
+    often = _keys(docs, np.array([], np.uint64)).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > FREQUENT)
     top = often.orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).select("key").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    keys = _keys(texts, frequent).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1")
+    same = Window.partitionBy("key")
+    keys = _keys(docs, frequent).withColumn("c0", F.min("cls").over(same)).withColumn("c1", F.max("cls").over(same)).filter("c0 <> c1")
     band = F.floor(F.log("n") / float(np.log(BAND)))
     shared = kept.cut(keys.select("key", "cls", "n", band.alias("band")).distinct())
+    texts = kept.cut(_class_texts(docs, shared.select("cls").distinct().join(reps, "cls")))
 
-    needed = shared.select("cls").distinct().join(reps, "cls")
-    sets = kept.cut(
-        _per_class(_representatives(docs, needed), "members binary, bits binary", [pa.binary(), pa.binary()], lambda found: (found.tobytes(), bitmap(found).tobytes()))
-        .dropDuplicates(["cls"])
-    )
     hubs = shared.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("hub"))
     stars = shared.join(hubs, ["key", "band"]).select(F.col("hub.cls").alias("u"), F.col("cls").alias("v")).filter("u <> v").distinct()
-    links = kept.cut(_linked(stars, sets))
+    links = kept.cut(_linked(stars, texts))
     roots = components(links, kept)
-    more = _linked(_across(shared, sets, roots), sets)
+    more = _linked(_across(shared, texts, roots), texts)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), kept)
 
     names = reps.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
