@@ -16,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from emberline.llm.common import as_bytes, narrow, shingle_hashes, text_hashes
 from emberline.llm.components import components
 from emberline.plans.storage import Tables, cut
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Shingles first in this many documents come last in the order; so many of them at most. Any
-#: choice gives the same links, it only keeps the tiles small.
-FREQUENT, MAX_FREQUENT = 200, 1_000_000
+#: Shingles in the prefixes of over FREQUENT among one in SHARE of all texts come last in the order; so many
+#: of them at most. The links are the same under any order, this one only keeps the tiles small.
+SHARE, FREQUENT, MAX_FREQUENT = 8, 25, 1_000_000
 #: Members of one sub-tile, and the ratio of size bands (a little over 5/4, so that linked sizes
 #: are in the same or the next band).
 TILE, BAND = 512, 1.2501
@@ -85,46 +86,65 @@ def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return rows.select("cls", "n", F.explode("keys").alias("key"))
 
 
+def _often(docs: DataFrame) -> DataFrame:
+    """``key`` of the shingles that are frequent in prefixes, the most frequent first."""
+    def run(batches):
+        for batch in batches:
+            found = [prefix(shingles(x), np.empty(0, np.uint64)) for x in as_bytes(batch.column(0)) if x and xxh3_64_intdigest(x) % SHARE == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["key"])
+
+    counts = docs.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    return counts.filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).select("key")
+
+
 def _class_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``cls, text, bits`` of the chosen ``cls, doc_id``. Rows that share an id are told apart by
-    their class; equal rows of one task are taken once."""
-    rows = docs.select("doc_id", "text").join(
+    """``cls, packed, bits`` of the chosen ``cls, doc_id``: compressed text and bitmap. Rows that
+    share an id are told apart by their class; equal rows of one task are taken once."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def pack(batches):
+        tool = ZstdCompressor(3)
+        for batch in batches:
+            packed = [x and tool.compress(x) for x in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(pack, f"doc_id {kind}, packed binary").join(
         chosen.select(F.col("doc_id").alias("rid"), "cls"), F.col("doc_id").eqNullSafe(F.col("rid"))
-    ).select("text", "cls")
+    ).select("packed", "cls")
 
     def run(batches):
-        seen = set()
+        seen, tool = set(), ZstdDecompressor()
         for batch in batches:
             keep, bits = [], []
-            for data, cls in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                found = shingles(data)
+            for data, cls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = shingles(data and tool.decompress(data))
                 keep.append(cls not in seen and class_of(found) == cls)
                 if keep[-1]:
                     seen.add(cls)
                     bits.append(bitmap(found).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(keep, pa.bool_())).columns, pa.array(bits, pa.binary())], names=["text", "cls", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(keep, pa.bool_())).columns, pa.array(bits, pa.binary())], names=["packed", "cls", "bits"])
 
-    return rows.mapInArrow(run, "text string, cls binary, bits binary")
+    return rows.mapInArrow(run, "packed binary, cls binary, bits binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``u, v`` whose sets are similar enough. Texts travel, as they are smaller than
     their sets; the rows of one ``u`` come one after the other, so its set is made once."""
     def run(batches):
-        last, x = None, None
+        last, x, tool = None, None, ZstdDecompressor()
         for batch in batches:
             keep = []
-            for u, a, b in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+            for u, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if u != last:
-                    last, x = u, shingles(a)
-                y = shingles(b)
+                    last, x = u, shingles(tool.decompress(a))
+                y = shingles(tool.decompress(b))
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 keep.append(bool(enough(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("cls").alias("u"), F.col("text").alias("a"))
-    right = texts.select(F.col("cls").alias("v"), F.col("text").alias("b"))
+    left = texts.select(F.col("cls").alias("u"), F.col("packed").alias("a"))
+    right = texts.select(F.col("cls").alias("v"), F.col("packed").alias("b"))
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
@@ -194,9 +214,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     docs = narrow(docs, "doc_id", "text")
     rows = kept.cut(_map(docs, "doc_id", "n long, cls binary", [pa.int64(), pa.binary()], lambda found: (len(found), class_of(found))))
     reps = kept.cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    often = _keys(docs, np.array([], np.uint64)).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > FREQUENT)
-    top = often.orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).select("key").collect()
-    frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    frequent = np.sort(np.array([r[0] for r in _often(docs).collect()], np.int64).view(np.uint64))
     same = Window.partitionBy("key")
     keys = _keys(docs, frequent).withColumn("c0", F.min("cls").over(same)).withColumn("c1", F.max("cls").over(same)).filter("c0 <> c1")
     band = F.floor(F.log("n") / float(np.log(BAND)))

@@ -37,7 +37,7 @@ def check(table, rows):
 
 def test_groups(table, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 8)
-    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(500)]
     shared = rng.choices(words, k=30)
