@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from emberline.catalog import Catalog
-from emberline.llm import decontaminate, jaccard, licenses, lines, mixing, quality, sql, tokens
+from emberline.llm import decontaminate, jaccard, licenses, lines, mixing, pii, quality, sql, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -21,6 +21,11 @@ def op1_jaccard_join(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+@CATALOG.add("op2_personal_data")
+def op2_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @CATALOG.add("op3_decontaminate", sql.OP3)
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
