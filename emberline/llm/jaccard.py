@@ -235,3 +235,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id")))
     kept.drop_all()
     return result
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The row of each group that gives it its ``component_id``; texts without words all stay."""
+    first = similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")

@@ -147,3 +147,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = docs.mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows whose text scores ``least`` or more, as they are; all, without anything to learn from."""
+    model = train(narrow(docs, "doc_id", "text"), labels)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model[0])
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([features(t) for t in as_bytes(batch.column(at))]).reshape(-1, WIDTH)
+            yield batch.filter(pa.array(shared.value.score(x) >= least, pa.bool_()))
+
+    return narrow(docs, *docs.columns).mapInArrow(run, docs.schema)

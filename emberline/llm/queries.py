@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from emberline.catalog import Catalog
@@ -49,3 +50,8 @@ def op7_quality_scores(spark, sf_dir):
 @CATALOG.add("op10_license_scan", sql.OP10)
 def op10_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.add("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
