@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from emberline.catalog import Catalog
-from emberline.llm import decontaminate, jaccard, licenses, lines, mixing, pii, quality, scoring, sql, tokens
+from emberline.llm import decontaminate, jaccard, licenses, lines, mixing, pii, quality, repeats, scoring, sql, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -32,6 +32,11 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@CATALOG.add("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 @CATALOG.add("op6_language_scores")
 def op6_language_scores(spark, sf_dir):
     return scoring.language_scores(table(spark, sf_dir, "documents"))
