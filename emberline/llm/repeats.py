@@ -6,7 +6,8 @@ strings with the same anchor make a stretch; equal stretches are counted as one
 anything moves. Where an anchor has several classes, their bytes go to one block, whose
 Burrows-Wheeler transform gives the common prefixes by increasing value, from the seeds up to
 ``length``: what is still open then is repeated. Anchors with more classes than a block
-should hold are split by the hash of each string instead.
+should hold are split further: their stretches are cut at fixed distances from the anchor,
+equal parts become one, and the strings of different parts are dealt by their own hash.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ GRAM = 32
 CHUNK = 1 << 20
 #: Classes under one anchor that go into a block together; beyond, strings are dealt by their own hash.
 MAX_CLASSES = 512
+#: Strings of a part of a stretch under a crowded anchor.
+PART = 16
 #: Symbols of a block; a position in it has to fit 24 bits.
 BLOCK = 2 << 20
 _SEED, _BITS, _AT = 7, 9, 24
@@ -160,25 +163,41 @@ def _stretch_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "uid long, anchor long, content long, first long, n long")
 
 
-def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of one stretch of each wanted class, or hashes of its strings under a crowded anchor."""
+def _parts(piece: bytes, n: int, length: int, gram: int) -> list[dict]:
+    """The n strings of a stretch by distance from its anchor: first string, hash of the
+    part, hash of each string. Equal parts of other stretches have equal hashes."""
+    total, down = _hashes(np.frombuffer(piece, np.uint8))
+    width = length - gram + 1
+    grams = mix64((total[gram : gram + width] - total[:width]) * down[:width])
+    lead = int(np.argmin(grams >> np.uint64(21)))
+    strings = mix64((total[length:] - total[:n]) * down[:n])
+    cuts = [0, *range((lead % PART) or PART, n, PART), n]
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        whole = mix64((total[b + length - 1] - total[a : a + 1]) * down[a : a + 1] + np.uint64(b - a))
+        out.append({"first": a, "part": int(whole.view(np.int64)[0]), "strings": strings[a:b].view(np.int64).tolist()})
+    return out
+
+
+def _pieces(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """Bytes of one stretch of each wanted class, or hashes of its parts under a crowded anchor."""
     listed = wanted.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "first", "n", "crowded")).alias("wanted"))
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary()), ("strings", pa.list_(pa.int64()))])
+    part = pa.struct([("first", pa.int64()), ("part", pa.int64()), ("strings", pa.list_(pa.int64()))])
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary()), ("parts", pa.list_(part))])
 
     def run(batches):
         for batch in batches:
             for data, asked in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for s in asked:
-                    piece, hashes = data[s["first"] : s["first"] + s["n"] + length - 1], None
-                    if s["crowded"]:
-                        total, down = _hashes(np.frombuffer(piece, np.uint8))
-                        hashes, piece = mix64((total[length:] - total[: s["n"]]) * down[: s["n"]]).view(np.int64), None
-                    rows.append((s["anchor"], s["content"], piece, hashes))
-                for k in range(0, len(rows), 4096):
-                    yield record_batch(schema, *zip(*rows[k : k + 4096], strict=True))
+                for k in range(0, len(asked), 4096):
+                    rows = []
+                    for s in asked[k : k + 4096]:
+                        piece = data[s["first"] : s["first"] + s["n"] + length - 1]
+                        both = (None, _parts(piece, s["n"], length, gram)) if s["crowded"] else (piece, None)
+                        rows.append((s["anchor"], s["content"], *both))
+                    yield record_batch(schema, *zip(*rows, strict=True))
 
-    return docs.join(listed, "uid").select("text", "wanted").mapInArrow(run, "anchor long, content long, bytes binary, strings array<long>")
+    parts = "array<struct<first: long, part: long, strings: array<long>>>"
+    return docs.join(listed, "uid").select("text", "wanted").mapInArrow(run, f"anchor long, content long, bytes binary, parts {parts}")
 
 
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
@@ -208,11 +227,17 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def _crowded(pieces: DataFrame) -> DataFrame:
-    """The same for anchors with too many classes: strings are counted by hash, with partial counts first."""
-    strings = pieces.filter("strings is not null").select("anchor", "content", F.posexplode("strings").alias("k", "string"))
-    often = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    starts = strings.join(often, ["anchor", "string"]).groupBy("anchor", "content").agg(F.collect_set("k").alias("k"))
-    return starts.select("anchor", "content", F.expr("flatten(transform(k, x -> array(cast(x as long), cast(x + 1 as long))))").alias("runs"))
+    """The same for anchors with too many classes. Equal parts are counted first, so that
+    only strings of different parts are dealt out."""
+    parts = pieces.filter("parts is not null").select("anchor", "content", F.explode("parts").alias("p")).select("anchor", "content", "p.*")
+    distinct = parts.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("times"), F.first("strings").alias("strings"))
+    strings = distinct.select("anchor", "part", "times", F.posexplode("strings").alias("k", "string"))
+    often = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    single = strings.filter("times = 1").join(often, ["anchor", "string"]).groupBy("anchor", "part").agg(F.collect_set("k").alias("k"))
+    whole = distinct.filter("times > 1").select("anchor", "part", F.expr("sequence(0, size(strings) - 1)").alias("k"))
+    found = parts.select("anchor", "content", "first", "part").join(whole.unionByName(single), ["anchor", "part"])
+    runs = F.expr("flatten(transform(k, x -> array(first + x, first + x + 1)))")
+    return found.groupBy("anchor", "content").agg(F.flatten(F.collect_list(runs)).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +254,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         seen = t.cut(classes.select("anchor", "content", "times", "one.*"))
         several = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
         wanted = seen.join(several, "anchor").withColumn("crowded", F.col("classes") > MAX_CLASSES)
-        pieces = t.cut(_pieces(kept, wanted, length))
+        pieces = t.cut(_pieces(kept, wanted, length, gram))
         again = seen.filter("times > 1").select("anchor", "content", F.array(F.lit(0).cast("long"), "n").alias("runs"))
         results = again.unionByName(_compared(pieces, length)).unionByName(_crowded(pieces))
         hits = places.select("uid", "anchor", "content", "first").join(results, ["anchor", "content"])
