@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from emberline.llm.common import _BYTE, _powers, as_bytes, mix64, narrow, partitions, record_batch
 from emberline.plans.storage import cut, tables
@@ -144,14 +145,33 @@ def _block(texts: list[bytes], length: int) -> list[list[int]]:
     return out
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``uid, doc_id, text`` with the text compressed, as it is stored once and moved twice."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches):
+        tool = ZstdCompressor()
+        for batch in batches:
+            packed = pa.array([x and tool.compress(x) for x in as_bytes(batch.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["uid", "doc_id", "text"])
+
+    return rows.mapInArrow(run, f"uid long, doc_id {kind}, text binary")
+
+
+def _texts(column: pa.Array):
+    """The texts of a compressed column, one at a time; empty for null."""
+    tool = ZstdDecompressor()
+    return (tool.decompress(x) if x else b"" for x in as_bytes(column))
+
+
 def _stretch_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     schema = pa.schema([("uid", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         for batch in batches:
             rows, waiting = [], 0
-            for uid, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                for found in stretches(np.frombuffer(data or b"", np.uint8), length, gram):
+            for uid, data in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
+                for found in stretches(np.frombuffer(data, np.uint8), length, gram):
                     rows.append((np.full(len(found[0]), uid), *found))
                     waiting += len(found[0])
                     if waiting > 1 << 18:
@@ -187,7 +207,7 @@ def _pieces(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataF
 
     def run(batches):
         for batch in batches:
-            for data, asked in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for data, asked in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 for k in range(0, len(asked), 4096):
                     rows = []
                     for s in asked[k : k + 4096]:
@@ -241,13 +261,13 @@ def _crowded(pieces: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """``(uid, doc_id, text)`` of each row, and ``(uid, found)`` of the rows with repeated strings.
+    """``(uid, doc_id, compressed text)`` of each row, and ``(uid, found)`` of the rows with repeated strings.
 
     ``found`` lists (start of a stretch, runs of repeated starts in it). Both are stored tables.
     """
     spark = docs.sparkSession
     rows = narrow(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    kept = cut(rows)
+    kept = cut(_packed(rows))
     with tables(spark) as t:
         places = t.cut(_stretch_rows(kept, length, gram))
         classes = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("uid", "first", "n")).alias("one"))
@@ -277,8 +297,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def run(batches):
         for batch in batches:
             sizes, spans, rest = [], [], []
-            for data, hits in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                data, merged = data or b"", []
+            for data, hits in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                merged = []
                 for first, end in sorted(
                     (h["first"] + a, h["first"] + b + length - 1) for h in hits or [] for a, b in zip(h["runs"][::2], h["runs"][1::2], strict=True)
                 ):
