@@ -3,8 +3,10 @@
 The tagger is a bidirectional LSTM with CRF transitions, trained in numpy on made-up sentences with
 labelled spans (patterns' own forms, spelt-out addresses, phones without a plus, dotted cards, and
 numbers that are none of these). It reads overlapping windows over every stretch that can hold an
-entity: an at sign, an ``(at)``, or four digits with gaps of at most three characters. Each character takes the tag
-of the window in which it is most central, and spans are made of the tags of the whole text.
+entity: an at sign, an ``(at)``, or four digits with gaps of at most three characters or of those of a
+phone. Each character takes the tag of the window in which it is most central; where an edge of the
+windows is tagged, more windows follow on that side until it is outside. Spans are made of the tags of the whole
+text; a tagged address goes from its first character to its last.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import hashlib
 import random
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,9 @@ LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a start inside a run of digits finds no more than its first one
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-STRETCH = re.compile(r"[0-9](?:[^0-9]{0,3}[0-9]){3,}|@|[(\[]\s?at\s?[)\]]")
+STRETCH = re.compile(r"[0-9](?:(?:[^0-9]{0,3}|[\x20()./-]+)[0-9]){3,}|@|[(\[]\s?at\s?[)\]]", re.IGNORECASE)
+AT = re.compile(r"@|\s?[(\[]\s?at\s?[)\]]\s?", re.IGNORECASE)
+LABELS = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)+", re.IGNORECASE)
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -248,7 +253,7 @@ def _windows(text: str) -> list[int]:
 def _plausible(kind: int, text: str) -> bool:
     n = digits(text)
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@|\s?[(\[]\s?at\s?[)\]]\s?)[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)+", text))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@|\s?[(\[]\s?at\s?[)\]]\s?)[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)+", text, re.IGNORECASE))
     if kind == 1:
         return bool(IP.fullmatch(text)) and valid_ip(text)
     if kind == 2:
@@ -256,14 +261,43 @@ def _plausible(kind: int, text: str) -> bool:
     return 10 <= len(n) <= 15 and bool(re.fullmatch(r"\+?\(?[0-9][\x20().0-9/-]+[0-9]", text)) and bool(re.search(r"[+(]", text))
 
 
-def _join(text: str, starts: list[int], tags: np.ndarray, base: list) -> list[tuple[int, int, int]]:
-    """All spans of a text: the base ones, and the tagged ones that lie apart from them."""
-    chosen, near = {}, {}
+def _choose(text: str, starts: list[int], tags, chosen: dict[int, int], near: dict[int, int]) -> None:
+    """The tags of these windows go to the characters that are more central here than before."""
     for at, row in zip(starts, tags, strict=True):
         for k in range(min(LENGTH, len(text) - at)):
             middle = min(k if at else LENGTH, LENGTH - 1 - k)
             if middle > near.get(at + k, -1):
                 near[at + k], chosen[at + k] = middle, int(row[k])
+
+
+def _further(text: str, starts: list[int], chosen: dict[int, int], many: int) -> list[int]:
+    """Starts of ``many`` windows on each side where the covered text ends with a tag in its last margin."""
+    more = set()
+    for at in starts:
+        if at and at - 1 not in chosen and any(chosen[p] for p in range(at, min(at + MARGIN, len(text)))):
+            more.update(range(at - STRIDE, max(-STRIDE, at - STRIDE * (many + 1)), -STRIDE))
+        end = at + LENGTH
+        if end < len(text) and end not in chosen and any(chosen[p] for p in range(end - MARGIN, end)):
+            more.update(range(at + STRIDE, min(len(text), at + STRIDE * (many + 1)), STRIDE))
+    return sorted({max(0, x) for x in more})
+
+
+def _spelt(text: str) -> list[tuple[int, int]]:
+    """Bounds of the addresses with an at sign or a bracketed ``at``, leftmost and non-overlapping."""
+    out, end = [], 0
+    for m in AT.finditer(text):
+        first = m.start()
+        while first > end and text[first - 1] in LOCAL_SET:
+            first -= 1
+        found = LABELS.match(text, m.end()) if first < m.start() else None
+        if found:
+            end = found.end()
+            out.append((first, end))
+    return out
+
+
+def _join(text: str, chosen: dict[int, int], base: list) -> list[tuple[int, int, int]]:
+    """All spans of a text: the base ones, and the tagged ones that lie apart from them."""
     found, last, kind = [], -2, None
     for pos in sorted(p for p, tag in chosen.items() if tag):
         k, begins = (chosen[pos] - 1) // 2, chosen[pos] % 2 == 1
@@ -272,26 +306,35 @@ def _join(text: str, starts: list[int], tags: np.ndarray, base: list) -> list[tu
         else:
             found.append([pos, k, pos + 1])
         last, kind = pos, k
+    bounds = _spelt(text) if any(k == 0 for _, k, _ in found) else []
+    whole = {(s, k, e) for s, k, e in found if k}
+    for s, _, e in (x for x in found if not x[1]):  # an address is tagged whole, wherever its tags begin and end
+        whole |= {(a, 0, b) for a, b in bounds if a < e and b > s} or {(s, 0, e)}
     apart = lambda s, e: all(e <= a or s >= b for a, _, b in base)
-    return sorted(base + [(s, k, e) for s, k, e in found if _plausible(k, text[s:e]) and apart(s, e)])
+    return sorted(base + [(s, k, e) for s, k, e in whole if _plausible(k, text[s:e]) and apart(s, e)])
 
 
 def find_spans(texts: list[str | None], model: Tagger) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; windows of all texts go through the tagger together."""
     texts = [t or "" for t in texts]
     base, starts = [base_spans(t) for t in texts], [_windows(t) for t in texts]
-    pieces = [t[a : a + LENGTH] for t, s in zip(texts, starts, strict=True) for a in s]
-    tags = []
+    chosen, near, todo, many = [{} for _ in texts], [{} for _ in texts], starts, 1
+    while any(todo):
+        rows = _tagged([t[a : a + LENGTH] for t, s in zip(texts, todo, strict=True) for a in s], model)
+        for i, text in enumerate(texts):
+            _choose(text, todo[i], islice(rows, len(todo[i])), chosen[i], near[i])
+        todo = [_further(t, s, c, many) if s else s for t, s, c in zip(texts, todo, chosen, strict=True)]
+        many *= 2
+    return [(b, _join(t, c, b) if c else b) for t, b, c in zip(texts, base, chosen, strict=True)]
+
+
+def _tagged(pieces: list[str], model: Tagger):
+    """The tags of each window."""
     for i in range(0, len(pieces), CHUNK):
         ids = np.zeros((LENGTH, len(pieces[i : i + CHUNK])), np.int64)
         for k, piece in enumerate(pieces[i : i + CHUNK]):
             ids[: len(piece), k] = _ids(piece)
-        tags.append(model.decode(ids).T)
-    tags, at, out = np.concatenate([np.zeros((0, LENGTH), np.int64), *tags]), 0, []
-    for text, b, s in zip(texts, base, starts, strict=True):
-        out.append((b, _join(text, s, tags[at : at + len(s)], b) if s else b))
-        at += len(s)
-    return out
+        yield from model.decode(ids).T
 
 
 def _text(spans) -> str:

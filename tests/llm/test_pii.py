@@ -51,3 +51,13 @@ def test_rows(table):
     red = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert red[1] == "call <PHONE> or <EMAIL>" and red[None] is None and "<EMAIL>" in red[4]
     assert pii.redact(df.limit(0)).count() == 0
+
+
+def test_long_addresses_are_whole():
+    """Entities longer than a window's margin, and bracketed words in capitals, up to their last character."""
+    tail = " in dita su vento kal ma ena. " * 4
+    for piece in ["j.doe (at) physics-department [dot] university [dot] example", "j.doe (at) computational-linguistics [dot] example",
+                  "marisveraten.kadinloverismu.tenkaraisdinlo.mu (at) kara.example", "mura.tenlo (AT) verka.example", "mura.tenlo [At] verka [DOT] example"]:
+        text = tail + piece + tail
+        (_, spans), = pii.find_spans([text], pii.tagger())
+        assert (len(tail), 0, len(tail) + len(piece)) in spans, (piece, [text[s:e] for s, _, e in spans])
