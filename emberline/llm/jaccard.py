@@ -238,6 +238,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The row of each group that gives it its ``component_id``; texts without words all stay."""
-    first = similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    """One row of each group, that with the smallest id (of equal ids, or none at all, the first row); a row
+    without an id stands for its group only if all are. Texts without words all stay."""
+    kept = Tables(docs.sparkSession)
+    rows = kept.cut(narrow(docs, *docs.columns).select(F.struct(*docs.columns).alias("document"), F.monotonically_increasing_id().alias("row")))
+    # As ids, these are unique, and their order is that of the ids with the missing ones last.
+    doc_id = F.col("document.doc_id")
+    named = rows.select(F.struct(doc_id.isNull().alias("missing"), doc_id.alias("id"), "row").alias("doc_id"), F.col("document.text").alias("text"))
+    first = similar_groups(named).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("first"))
+    result = cut(rows.join(first, F.col("row") == F.col("first"), "left_semi").select("document.*"))
+    kept.drop_all()
+    return result

@@ -55,3 +55,14 @@ def test_groups(table, monkeypatch):
 
 def test_empty_table(table):
     assert jaccard.similar_groups(table([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_a_group(table):
+    """Repeated rows, ids that stand for several texts, and missing ids."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(1, text(1), "a"), (1, text(1), "a"), (1, text(2), "b"), (2, text(2), "c"), (2, text(3) + " x", "d"), (3, text(3), "e"),
+            (None, text(4), "f"), (None, text(4), "g"), (None, text(5), "h"), (7, text(5), "i"), (8, None, "j"), (8, None, "k"), (None, "", "l")]
+    got = jaccard.one_per_group(table(rows, "doc_id long, text string, document string")).collect()
+    assert [r.asDict().keys() for r in got][0] == {"doc_id": 0, "text": 0, "document": 0}.keys()
+    kept = sorted(r.document for r in got)
+    assert kept in (["a", "b", "d", x, "i", "j", "k", "l"] for x in "fg"), kept
