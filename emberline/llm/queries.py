@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from emberline.catalog import Catalog
-from emberline.llm import decontaminate, jaccard, licenses, lines, mixing, pii, quality, repeats, scoring, sql, tokens
+from emberline.llm import bpe, decontaminate, jaccard, licenses, lines, mixing, pii, quality, repeats, scoring, sql, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -62,6 +63,14 @@ def op10_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+@CATALOG.add("op11_byte_bpe")
+def op11_byte_bpe(spark, sf_dir):
+    """Digests of the ids, and of the bytes decoded from these ids."""
+    files = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *files, packed=True), *files)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @CATALOG.add("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
