@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from emberline.llm.common import as_bytes, narrow
 
@@ -217,7 +218,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     rows = tokens.drop("decoded")
     packed = dict(rows.dtypes)["ids"] == "binary"
-    schema = rows.schema.add("decoded", "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
     at = rows.columns.index("ids")
 
     def run(batches):
