@@ -36,21 +36,30 @@ def unicode_space(pattern: str) -> str:
     return re.sub(r"\\([sS])", lambda m: r"\p{White_Space}" if m[1] == "s" else r"\P{White_Space}", pattern)
 
 
+def read_ranks(path: str) -> dict[int, bytes]:
+    """The tokens of a rank file: base64 bytes and rank, a token a line."""
+    with open(path, "rb") as file:
+        lines = [line.split() for line in file if line.strip()]
+    return {int(rank): base64.b64decode(token) for token, rank in lines}
+
+
+def decoded(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    """The bytes that packed ids stand for. An id that the vocabulary doesn't have is an error."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, PACKED).tolist()))
+
+
 class Vocabulary:
-    """Tokens of a rank file (base64 bytes and rank a line) and the pattern that cuts texts into pieces."""
+    """Tokens of a rank file and the pattern that cuts texts into pieces."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as file:
-            lines = [line.split() for line in file if line.strip()]
         #: Bytes as Latin-1 text, by rank and back.
-        self.ranks = {base64.b64decode(token).decode("latin-1"): int(rank) for token, rank in lines}
+        self.text = {rank: token.decode("latin-1") for rank, token in read_ranks(path).items()}
+        self.ranks = {token: rank for rank, token in self.text.items()}
         missing = [b for b in range(256) if chr(b) not in self.ranks]
         if missing:
             raise ValueError(f"no token for byte {missing[0]}; a byte-level vocabulary has all 256")
         self.pieces = regex.compile(unicode_space(pattern))
-        self.text = dict(map(reversed, self.ranks.items()))
         self.longest = max(map(len, self.ranks))
-        self.bytes = {rank: token.encode("latin-1") for token, rank in self.ranks.items()}
         #: The two tokens that the last merge of a token joins, for those that merges make.
         self.halves: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
@@ -168,12 +177,9 @@ class Vocabulary:
         known.update((p, fresh[p]) for p in islice(short, max(0, CACHE_PIECES - len(known))))
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that packed ids stand for. An id that the vocabulary doesn't have is an error."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, PACKED).tolist()))
-
 
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -210,7 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> Da
     return narrow(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids {'binary' if packed else 'array<int>'}")
 
 
-def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(tokens: DataFrame, path: str) -> DataFrame:
     """The rows with ``decoded`` (binary) for their ``ids``, packed or as an array; null for null.
 
     Bytes, because ids need not end where a character does. An id outside the vocabulary ends
@@ -223,10 +229,11 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            tool = vocabulary(path, pattern)
+            if path not in _TOKENS:
+                _TOKENS[path] = read_ranks(path)
             ids = batch.column(at).to_pylist()
             data = ids if packed else [x if x is None else np.array(x, PACKED).tobytes() for x in ids]
-            found = pa.array([x if x is None else tool.decode(x) for x in data], pa.binary())
+            found = pa.array([x if x is None else decoded(x, _TOKENS[path]) for x in data], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from emberline.catalog import Catalog
-from emberline.llm import bpe, decontaminate, jaccard, licenses, lines, mixing, pii, quality, repeats, scoring, sql, tokens
+from emberline.llm import bpe, decontaminate, jaccard, licenses, lines, mixing, negatives, pii, quality, repeats, scoring, search, sql, tokens
 from emberline.llm.common import table
 
 CATALOG = Catalog()
@@ -66,11 +66,22 @@ def op10_license_scan(spark, sf_dir):
 @CATALOG.add("op11_byte_bpe")
 def op11_byte_bpe(spark, sf_dir):
     """Digests of the ids, and of the bytes decoded from these ids."""
-    files = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *files, packed=True), *files)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, packed=True), path)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@CATALOG.add("op12_hard_negatives", sql.OP12)
+def op12_hard_negatives(spark, sf_dir):
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", relabelled), F.col("vec_id") % 50 == 0)
+
+
+@CATALOG.add("op13_lexical_search", sql.OP13)
+def op13_lexical_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @CATALOG.add("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

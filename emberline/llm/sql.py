@@ -71,3 +71,31 @@ e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE
 r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor, b.vec_id AS vec, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec) <= 5)
+SELECT p.anchor AS anchor_id, p.vec AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.vec ORDER BY n.score DESC, n.vec) AS INTEGER) AS rank,
+  n.vec AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3"""
+
+_W13 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, {_W13} AS w FROM documents WHERE len({_W13}) > 0),
+g AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d),
+m AS (SELECT doc_id, 100 - 90 + (90 * CAST(len(w) AS BIGINT) * N) // L AS m FROM d, g),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(N) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, g GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest({_W13}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM i JOIN t USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
