@@ -8,9 +8,11 @@ the micro-batches of a stream.
 from pyspark import cloudpickle
 
 from emberline.plans import kernels
+from emberline.streaming import states
 
 # The few pandas helpers travel to the executors inside the task itself, so a
 # job needs no copy of this package installed on the workers.
-cloudpickle.register_pickle_by_value(kernels)
+for _module in (kernels, states):
+    cloudpickle.register_pickle_by_value(_module)
 
 __version__ = "0.1.0"

@@ -319,6 +319,7 @@ def retry_dlq(spark, sf):
     return pending(twice, events.filter("user_id % 3 = 0").select(key))
 
 
+FLOW_TENANT = {"dsn": "https://g@h/0", "environment": "live", "release": ""}
 FLOW_MONITORS = [
     {"name": "src0", "format": "nginx", "dsn": "https://a@h/1", "rate_limit_burst": 1, "rate_limit_window": "1h"},
     {"name": "src1", "format": "nginx", "exclude_pattern": "1#0"},
@@ -339,8 +340,7 @@ SELECT lim.source, lim.ord AS batch_id, CASE WHEN lim.source = 'src0' THEN 'http
 FROM lim JOIN b ON b.source = lim.source AND b.batch_id = lim.ord""")
 def whole_flow(spark, sf):
     raw = lines(spark, sf, "nginx").withColumn("monitor", F.col("source"))
-    tenant = {"dsn": "https://g@h/0", "environment": "live", "release": ""}
-    events = issues_to_events(raw, tenant, FLOW_MONITORS)
+    events = issues_to_events(raw, FLOW_TENANT, FLOW_MONITORS)
     return events.select(
         "source", "batch_id", "dsn", "environment", "passed", F.col("start_ts").cast("bigint").alias("start_ts")
     )

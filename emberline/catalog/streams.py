@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from emberline.catalog import Catalog
 from emberline.catalog.common import lines, windows_sql
-from emberline.catalog.grouping import CATALOG as GROUPING
+from emberline.catalog.grouping import CATALOG as GROUPING, FLOW_MONITORS, FLOW_TENANT
 from emberline.operators.detect import detector_for
 from emberline.plans.fixtures import epoch_seconds
 from emberline.plans.storage import new_path
 from emberline.streaming.issues import IssueStream
+from emberline.streaming.monitors import MonitorStream
 from emberline.streaming.silence import SilenceStream
 
 CATALOG = Catalog()
@@ -84,3 +85,20 @@ def stream_inactivity(spark, sf):
     )
     query.awaitTermination()
     return spark.read.parquet(f"{path}/alerts").select("source", "level", F.col("at").cast("bigint").alias("at"))
+
+
+def run_monitors(spark, table, monitors, tenant, **settings):
+    """Events of a bounded stream of ``(monitor, source, line_no, line)``, those of the batches it left open included."""
+    path = new_path(spark, "stream")
+    flow = MonitorStream(spark, tenant, monitors, idle=None, line_clock=True, **settings)
+    query = flow.start(feed(spark, table, path, f"monitor string, {LINES}"), f"{path}/events", f"{path}/checkpoint", available_now=True)
+    query.awaitTermination()
+    sent = spark.read.parquet(f"{path}/events").drop("epoch")
+    return sent.unionByName(flow.drain(f"{path}/checkpoint"))
+
+
+@add("stream_flow", GROUPING.sql["whole_flow"])
+def stream_flow(spark, sf):
+    raw = lines(spark, sf, "nginx").withColumn("monitor", F.col("source"))
+    events = run_monitors(spark, raw, FLOW_MONITORS, FLOW_TENANT)
+    return events.select("source", "batch_id", "dsn", "environment", "passed", F.col("start_ts").cast("bigint").alias("start_ts"))

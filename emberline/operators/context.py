@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.kernel import headers_related
@@ -12,6 +12,18 @@ from emberline.plans.ordered import LAST, running
 RELATED_SECONDS = 5.0
 
 
+def kernel_parts(line: str, is_error) -> dict[str, Column]:
+    """What a kernel line alone tells: ``error``, ``stamped``, ``at`` (seconds, 0 without) and ``header``."""
+    stamp = dmesg_stamp(line)
+    header = F.nullif(F.regexp_extract(line, r"^\[[^\]]*\] *([^:]*):", 1), F.lit(""))
+    return {
+        "error": F.coalesce(is_error(F.col(line)), F.lit(False)),
+        "stamped": stamp.isNotNull(),
+        "at": F.coalesce(dmesg_seconds(stamp), F.lit(0.0)),
+        "header": F.when(stamp.isNotNull(), header),
+    }
+
+
 def _staged(lines: DataFrame, is_error) -> DataFrame:
     return (
         lines.withColumn("_error", F.coalesce(is_error(F.col("line")), F.lit(False)))

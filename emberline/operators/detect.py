@@ -210,25 +210,25 @@ def matched_lines(
     return stamped.withColumn("n_bytes", byte_length("line").cast("long"))
 
 
-def detect_all(lines: DataFrame, monitors: list[dict], as_of=None, **plan) -> DataFrame:
-    """Issue lines of every monitor, each with its own detector and exclusion.
+def monitor_rules(monitors: list[dict]) -> tuple[Callable[[str, bool | None], Builder | None], list[str]]:
+    """``(choose, names of kernel-log monitors)``; ``choose(attribute, kernel_logs)`` builds one CASE over
+    the column ``monitor`` from that part (``match``, ``stamp``, ``exclude``...) of the monitors' detectors,
+    of kernel logs only, of the others only, or (None) of all.
 
-    ``lines`` carries a ``monitor`` column. Monitors with the same rule share one
-    branch of a CASE with a literal pattern, so a regex is compiled once per task,
-    and all stateless monitors share one pass; kernel logs need ordered state and
-    form a second branch.
+    Monitors with the same rule share a branch with a literal pattern, so a regex is compiled
+    once per task. A monitor goes by its ``id``, or else by its name.
     """
     rules: dict[tuple[str, str, str], list[str]] = {}
     for m in monitors:
         fmt = format_of(m)
         pattern = "" if fmt in ("dmesg", "nginx", "nginx-error") else m.get("pattern") or ""
-        rules.setdefault((fmt, pattern, m.get("exclude_pattern") or ""), []).append(m["name"])
+        rules.setdefault((fmt, pattern, m.get("exclude_pattern") or ""), []).append(m.get("id", m["name"]))
 
-    def choose(attribute: str, kernel_logs: bool) -> Builder | None:
+    def choose(attribute: str, kernel_logs: bool | None) -> Builder | None:
         picks = []
         for (fmt, pattern, exclude), names in rules.items():
             detector = detector_for(fmt, pattern)
-            if detector.related is not kernel_logs:
+            if kernel_logs is not None and detector.related is not kernel_logs:
                 continue
             if attribute == "exclude":
                 part = (lambda line, e=exclude: detect_generic(line, e)) if exclude else None
@@ -248,9 +248,19 @@ def detect_all(lines: DataFrame, monitors: list[dict], as_of=None, **plan) -> Da
 
         return build
 
+    return choose, [n for (fmt, _, _), names in rules.items() if fmt == "dmesg" for n in names]
+
+
+def detect_all(lines: DataFrame, monitors: list[dict], as_of=None, **plan) -> DataFrame:
+    """Issue lines of every monitor, each with its own detector and exclusion.
+
+    ``lines`` carries a ``monitor`` column (see ``monitor_rules``). All stateless monitors
+    share one pass; kernel logs need ordered state and form a second branch.
+    """
+    choose, kernel_names = monitor_rules(monitors)
     branches = []
     for kernel_logs in (False, True):
-        names = [n for (fmt, _, _), ns in rules.items() for n in ns if (fmt == "dmesg") is kernel_logs]
+        names = [n for m in monitors if ((n := m.get("id", m["name"])) in kernel_names) is kernel_logs]
         if not names:
             continue
         detector = dmesg_detector() if kernel_logs else Detector(

@@ -15,9 +15,11 @@ def _map_of(pairs: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() & (e["value"] != "")))
 
 
-def event_id() -> Column:
-    """Stable identity of an event, so that a repeated delivery can be recognised."""
-    return F.sha2(F.concat_ws("\x1f", "source", F.col("first_line_no").cast("string"), "message"), 256)
+def event_id(*identity: str) -> Column:
+    """Stable identity of an event, so that a repeated delivery can be recognised: its source, the number of its
+    first line, its message, and the columns ``identity`` that tell apart what these leave equal."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (*identity, "source", "first_line_no", "message")]
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
 def first_line_metadata(batches: DataFrame, context=None) -> DataFrame:
@@ -36,18 +38,25 @@ def first_line_metadata(batches: DataFrame, context=None) -> DataFrame:
 
 def build_events(batches: DataFrame, detector=None, server_state: str | None = None) -> DataFrame:
     """Event table of a batch table. ``server_state`` names a column holding a host
-    snapshot (see ``attach_server_state``)."""
+    snapshot (see ``attach_server_state``). ``monitor`` and ``begun`` (the micro-batch of the first
+    line, where line numbers start anew in each) go into the identity where they are there. Rows with
+    a level in ``alert`` are alerts of a silent source.
+    """
     staged = first_line_metadata(batches, getattr(detector, "context", None))
     number = lambda f: F.col(f"syslog.{f}").cast("string")
     contexts = [F.col("log_data")]
     if server_state:
         contexts.append(F.col(server_state).alias("server_state"))
     passthrough = [c for c in ("monitor", "dsn", "environment", "release", "passed") if c in batches.columns]
+    alert = F.col("alert") if "alert" in batches.columns else F.lit(None).cast("string")
+    told = [c for c in ("monitor", "begun") if c in batches.columns]
     return staged.select(
-        event_id().alias("event_id"), "source", "batch_id", "first_line_no", "start_ts", "n_lines",
-        "message", "level",
+        F.when(alert.isNotNull(), event_id(*told, "at") if "at" in batches.columns else None).otherwise(event_id(*told)).alias("event_id"),
+        "source", "batch_id", "first_line_no", "start_ts", "n_lines",
+        "message", F.coalesce(alert, "level").alias("level"),
         _map_of({
             "source": F.col("source").cast("string"),
+            "alert_type": F.when(alert.isNotNull(), "inactivity"),
             "log_timestamp": F.col("ts_str"),
             "syslog_priority": number("pri"),
             "syslog_facility": number("facility"),
@@ -100,3 +109,9 @@ def route(events: DataFrame, monitors: DataFrame, dsn: str, environment: str = "
     return events.join(own, "monitor", "left").withColumns({
         "dsn": pick("_dsn", dsn), "environment": pick("_env", environment), "release": pick("_rel", release),
     }).drop("_dsn", "_env", "_rel")
+
+
+def tenant_of(monitor: dict, tenant: dict) -> dict[str, str]:
+    """Address, environment and release of one monitor, by the rule of ``route``."""
+    own = monitor.get("dsn") or ""
+    return {f: (own and monitor.get(f)) or tenant.get(f) or "" for f in ("dsn", "environment", "release")}

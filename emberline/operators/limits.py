@@ -58,7 +58,7 @@ def window_ranks(
     if seed is not None:
         known = rows.groupBy("source").agg(F.max("window").alias("window"))
         rows = rows.unionByName(
-            seed.join(known, "source").select(
+            join_keys(seed, known, ["source"]).select(
                 "source", F.lit(-1).cast("long").alias(order), F.col("opened_us").alias("_clock"), "window",
                 F.lit(1).cast("long").alias("_one"),
             )
@@ -75,7 +75,7 @@ def window_ranks(
     used = seed.select("source", "used")
     in_seed = (F.col("anchor") == 0) & F.col("used").isNotNull()
     return (
-        marked.join(used, "source", "left")
+        join_keys(marked, used, ["source"], "left")
         .filter(F.col(order) >= 0)
         .select(
             "source", order, F.col("anchor").alias("opened"),
@@ -122,7 +122,8 @@ def limiter_state(events: DataFrame, burst: int, window=DEFAULT_WINDOW_SECONDS,
         return latest.select(
             "source", F.col("w._first").alias("opened_us"), F.least("w._used", F.lit(int(burst))).alias("used")
         )
-    joined = latest.join(seed, "source", "full")
+    sources = latest.select("source").unionByName(seed.select("source")).distinct()
+    joined = join_keys(join_keys(sources, latest, ["source"], "left"), seed, ["source"], "left")
     continued = F.col("w._low") > 0
     return joined.select(
         "source",

@@ -22,12 +22,13 @@ from emberline.operators.context import context_state
 from emberline.operators.detect import Detector, matched_lines
 from emberline.operators.events import build_events
 from emberline.operators.limits import limiter_state, rate_limit
+from emberline.plans.joins import join_keys
 from emberline.plans.storage import cut, largest_group
 
 IDLE_SECONDS = 5.0
 
 OPEN_LINES = (
-    "source string, line_no long, line string, ts double, ts_str string, n_bytes long, origin long, touched double"
+    "source string, line_no long, line string, ts double, ts_str string, n_bytes long, origin long, touched double, begun long"
 )
 CONTEXT = "source string, last_ts double, last_header string"
 LIMITER = "source string, opened_us long, used long"
@@ -84,29 +85,30 @@ class IssueStream:
         """
         now = time.time() if now is None else now
         fields = [f.split()[0] for f in OPEN_LINES.split(", ")]
-        rows = self._matched(lines, epoch).withColumns({"origin": F.col("line_no"), "touched": F.lit(now)})
+        rows = self._matched(lines, epoch).withColumns(
+            {"origin": F.col("line_no"), "touched": F.lit(now), "begun": F.lit(epoch).cast("long")})
         rows, flushed = rows.select(*fields), None
         if epoch > 0:
             before = self._load("open", OPEN_LINES, epoch - 1)
             if self.idle is not None:
                 # An idle batch was flushed before the new lines came, so they cannot join it.
                 idle = F.lit(now) - F.col("touched") >= self.idle
-                flushed = group_batches(before.filter(idle), keep=("origin",), stored=True, **self.rule)
+                flushed = group_batches(before.filter(idle), keep=("origin", "begun"), stored=True, **self.rule)
                 before = before.filter(~idle)
             rows = rows.unionByName(before)
         # Read back in the main session: a micro-batch's own session has adaptive execution off.
         rows = cut(rows, self.spark)
-        groups = group_batches(rows, keep=("origin",), stored=True, **self.rule)
+        groups = group_batches(rows, keep=("origin", "begun"), stored=True, **self.rule)
         ends = rows.groupBy("source").agg(F.max("line_no").alias("_end"), F.max("touched").alias("touched"))
         flagged = cut(
-            groups.join(ends.drop("touched"), "source")
+            join_keys(groups, ends.drop("touched"), ["source"])
             .withColumn("_open", (F.col("last_line_no") == F.col("_end")) & F.lit(not close))
         )
         kept = flagged.filter("_open").select("source", "first_line_no")
         # Open lines go before all lines to come: their numbers end at -1.
         placed = (
-            rows.drop("touched").join(kept, "source").filter(F.col("line_no") >= F.col("first_line_no"))
-            .join(ends, "source").withColumn("line_no", F.col("line_no") - F.col("_end") - 1)
+            join_keys(join_keys(rows.drop("touched"), kept, ["source"]), ends, ["source"])
+            .filter(F.col("line_no") >= F.col("first_line_no")).withColumn("line_no", F.col("line_no") - F.col("_end") - 1)
         )
         self._save(placed, "open", OPEN_LINES, epoch)
         done = flagged.filter("NOT _open").drop("_end", "_open")
