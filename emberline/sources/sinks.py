@@ -61,10 +61,11 @@ def deliver(payloads: DataFrame, send: Sender) -> DataFrame:
 
 
 def write_with_dlq(payloads: DataFrame, send: Sender, receipts: str, dlq: str) -> None:
-    """Send events; ids of delivered ones go to ``receipts``, failed ones to ``dlq``."""
+    """Send events; failed ones go to ``dlq``, then ids of delivered ones to ``receipts``, so that a crash
+    between the two loses no failed event. See ``sources.delivery`` for one table of both."""
     outcome = deliver(payloads, send)
-    outcome.filter("delivered").select("event_id").write.mode("append").parquet(receipts)
     outcome.filter("NOT delivered").select("event_id", "payload").write.mode("append").parquet(dlq)
+    outcome.filter("delivered").select("event_id").write.mode("append").parquet(receipts)
 
 
 def pending(dead_letters: DataFrame, delivered: DataFrame) -> DataFrame:
