@@ -28,10 +28,10 @@ class Catalog:
 
 
 def load() -> Catalog:
-    from emberline.catalog import config, detection, grouping, hosts, streams, texts, times
+    from emberline.catalog import config, detection, following, grouping, hosts, streams, texts, times
 
     whole = Catalog()
-    for module in (detection, times, grouping, texts, hosts, config, streams):
+    for module in (detection, times, grouping, texts, hosts, config, streams, following):
         whole.queries.update(module.CATALOG.queries)
         whole.sql.update(module.CATALOG.sql)
     return whole

@@ -58,11 +58,11 @@ def infer_format_without_name(spark, sf):
 
 
 @add("validate_monitors", f"""
-WITH {MONITORS_SQL} SELECT * FROM (SELECT {KEY}, CASE WHEN name = '' THEN 'monitor name is required'
-  WHEN type = 'other' THEN 'unknown monitor type: other' WHEN type = 'file' AND path = '' THEN 'path is required for file monitor'
-  WHEN type = 'command' AND args = '' THEN 'command args are required' WHEN pattern IN ('(', 'a[b') THEN 'invalid pattern regex'
-  WHEN exclude_pattern = '[' THEN 'invalid exclude_pattern regex' WHEN max_inactivity = 'soon' THEN 'invalid max_inactivity'
-  WHEN rate_limit_window = '2days' THEN 'invalid rate_limit_window' END AS error FROM mons) WHERE error IS NOT NULL""")
+WITH {MONITORS_SQL} SELECT * FROM (SELECT {KEY}, CASE WHEN name = '' THEN 'a monitor without a name'
+  WHEN type = 'other' THEN 'no such monitor type: other' WHEN type = 'file' AND path = '' THEN 'a file monitor without a path'
+  WHEN type = 'command' AND args = '' THEN 'a command monitor without a command' WHEN pattern IN ('(', 'a[b') THEN 'pattern cannot be read'
+  WHEN exclude_pattern = '[' THEN 'exclude_pattern cannot be read' WHEN max_inactivity = 'soon' THEN 'max_inactivity is no duration'
+  WHEN rate_limit_window = '2days' THEN 'rate_limit_window is no duration' END AS error FROM mons) WHERE error IS NOT NULL""")
 def validate_monitors(spark, sf):
     return monitors(spark, sf).select(KEY, M.validation_error().alias("error")).filter("error IS NOT NULL")
 

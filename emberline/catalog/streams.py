@@ -10,7 +10,7 @@ from emberline.operators.detect import detector_for
 from emberline.plans.fixtures import epoch_seconds
 from emberline.plans.storage import new_path
 from emberline.streaming.issues import IssueStream
-from emberline.streaming.monitors import MonitorStream
+from emberline.streaming.monitors import MonitorStream, unique_lines
 from emberline.streaming.silence import SilenceStream
 
 CATALOG = Catalog()
@@ -87,11 +87,12 @@ def stream_inactivity(spark, sf):
     return spark.read.parquet(f"{path}/alerts").select("source", "level", F.col("at").cast("bigint").alias("at"))
 
 
-def run_monitors(spark, table, monitors, tenant, **settings):
+def run_monitors(spark, table, monitors, tenant, unique=False, **settings):
     """Events of a bounded stream of ``(monitor, source, line_no, line)``, those of the batches it left open included."""
     path = new_path(spark, "stream")
     flow = MonitorStream(spark, tenant, monitors, idle=None, line_clock=True, **settings)
-    query = flow.start(feed(spark, table, path, f"monitor string, {LINES}"), f"{path}/events", f"{path}/checkpoint", available_now=True)
+    stream = feed(spark, table, path, f"monitor string, {LINES}")
+    query = flow.start(unique_lines(stream) if unique else stream, f"{path}/events", f"{path}/checkpoint", available_now=True)
     query.awaitTermination()
     sent = spark.read.parquet(f"{path}/events").drop("epoch")
     return sent.unionByName(flow.drain(f"{path}/checkpoint"))

@@ -106,9 +106,30 @@ def _number_text(number: Column) -> Column:
     return bind(bind(number.cast("string"), take_apart), put_together)
 
 
+#: A string, a sign, or what stands between signs, in JSON text.
+_TOKEN = r'("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^{}\[\],:"\s]+)'
+
+
+def _nested_text(json: Column) -> Column:
+    """``map[key:value ...]`` and ``[a b]`` of an object or array given as JSON text with sorted keys, to
+    any depth: each token is spelt anew, so nothing has to recurse."""
+    def spelt(token: Column) -> Column:
+        return (
+            F.when(token == "{", F.lit("map["))
+            .when(token == "}", F.lit("]"))
+            .when(token == ",", F.lit(" "))
+            .when(token.isin("[", "]", ":", "true", "false"), token)
+            .when(token == "null", F.lit("<nil>"))
+            .when(token.startswith('"'), F.try_variant_get(F.try_parse_json(token), "$", "string"))
+            .otherwise(_number_text(token.cast("double")))
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(1)), spelt), "")
+
+
 def go_value_string(obj: Column, key: str) -> Column:
-    """The text a field is matched as: strings as they are, ``true``/``false``,
-    ``<nil>`` for null, numbers as shortest floats, objects and arrays as JSON."""
+    """The text a field is matched as: strings as they are, ``true``/``false``, ``<nil>`` for null,
+    numbers as shortest floats, objects as ``map[key:value ...]`` with sorted keys, arrays as ``[a b]``."""
     def shown(kind: Column) -> Column:
         return (
             F.when(kind.isin("STRING", "BOOLEAN"), field_text(obj, key))
@@ -117,7 +138,7 @@ def go_value_string(obj: Column, key: str) -> Column:
                 (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"),
                 _number_text(F.try_variant_get(obj, _path(key), "double")),
             )
-            .otherwise(F.to_json(F.try_variant_get(obj, _path(key), "variant")))
+            .otherwise(_nested_text(F.to_json(F.try_variant_get(obj, _path(key), "variant"))))
         )
 
     return bind(field_type(obj, key), shown)

@@ -8,7 +8,6 @@ A detector is a bundle of Column builders, so a new one needs no subclass::
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +19,7 @@ from emberline.functions.basics import as_col, bind
 from emberline.functions.jsonlines import (
     field_text, field_type, go_value_string, json_context, json_object, split_key_pattern,
 )
+from emberline.functions.patterns import to_java
 from emberline.functions.text import byte_length
 from emberline.operators.context import mark_context
 
@@ -57,32 +57,10 @@ def is_literal(pattern: str) -> bool:
     return not REGEX_CHARACTERS & set(pattern)
 
 
-def java_pattern(pattern: str) -> str:
-    """A pattern in RE2 spelling for the JVM: group names, character classes, and
-    only ``\\n`` as a line end."""
-    named = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    def java_class(m: re.Match) -> str:
-        if m[2] == "word":
-            return r"\W" if m[1] else r"\w"
-        if m[2] not in _CLASS_NAMES:
-            raise ValueError(f"unknown character class {m[0]} in {pattern!r}")
-        return rf"\{'P' if m[1] else 'p'}{{{_CLASS_NAMES[m[2]]}}}"
-
-    classes = re.sub(r"\[:(\^?)(\w+):\]", java_class, named)
-    return "(?d)" + classes
-
-
-_CLASS_NAMES = {
-    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit",
-    "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper",
-    "xdigit": "XDigit",
-}
-
-
 def detect_generic(line, pattern: str) -> Column:
     """Unanchored regex search; a pattern without special characters is a substring test."""
     text = as_col(line)
-    return F.contains(text, F.lit(pattern)) if is_literal(pattern) else text.rlike(java_pattern(pattern))
+    return F.contains(text, F.lit(pattern)) if is_literal(pattern) else text.rlike(to_java(pattern))
 
 
 def detect_contains_ci(line, text: str) -> Column:
@@ -158,10 +136,9 @@ def detector_for(format: str, pattern: str = "") -> Detector:
     if format in fixed:
         return fixed[format]()
     if format not in ("json", "custom", ""):
-        raise ValueError(f"unknown detector format: {format}")
+        raise ValueError(f"no detector of format {format!r}")
     if not pattern:
-        hint = "json detector (format: key:regex)" if format == "json" else "custom detector"
-        raise ValueError(f"pattern is required for {hint}")
+        raise ValueError(f"the {format or 'custom'} detector needs a pattern{' (key:regex)' if format == 'json' else ''}")
     return json_detector(pattern) if format == "json" else generic_detector(pattern)
 
 

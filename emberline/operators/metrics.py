@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,28 @@ def metrics_rows(wide: DataFrame) -> DataFrame:
 
 def last_activity(lines: DataFrame, clock: str = "ingest_ts") -> DataFrame:
     return lines.groupBy("source").agg(F.max(clock).alias("last_activity"))
+
+
+# --- counted while a stream runs -------------------------------------------
+
+LINE_COUNTERS = ("processed_lines", "matched", "excluded", "issues_detected")
+EVENT_COUNTERS = ("events", "events_sent", "events_dropped")
+
+
+def observed(df: DataFrame, name: str, ids: list[str], counters: dict[str, Column]) -> DataFrame:
+    """The same rows; Spark counts them on the way, for each ``monitor`` of ``ids`` and each counter (a
+    condition). The sums of a micro-batch come with its progress, so nothing is read twice."""
+    own = lambda i, test: F.count_if((F.col("monitor") == i) & F.coalesce(test, F.lit(False)))
+    return df.observe(name, *[own(i, test).alias(f"{counter}_{i}") for i in ids for counter, test in counters.items()])
+
+
+def progress_counts(progress: list, names: dict[str, str]) -> dict[str, dict[str, int]]:
+    """Sums per monitor name over the progress of some micro-batches; ``names`` gives the name of an id."""
+    out: dict[str, dict[str, int]] = {}
+    for step in progress:
+        for row in step.observedMetrics.values():
+            for field, value in row.asDict().items():
+                counter, _, i = field.rpartition("_")
+                counts = out.setdefault(names[i], dict.fromkeys(LINE_COUNTERS + EVENT_COUNTERS, 0))
+                counts[counter] += value or 0
+    return out

@@ -17,9 +17,6 @@ there are kept, which keeps the functions short however long the block is.
 This module must not import anything from the package: it is shipped by value.
 """
 
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 
@@ -250,23 +247,6 @@ def anchors_of_group(block, keys, order):
 
 # --- small helpers of other modules ----------------------------------------
 
-def patterns_compile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether each text is a usable regular expression."""
-    known = {}
-
-    def check(pattern):
-        if pattern not in known:
-            try:
-                re.compile(pattern or "")
-                known[pattern] = True
-            except re.error:
-                known[pattern] = False
-        return known[pattern]
-
-    for batch in batches:
-        yield batch.map(check)
-
-
 def one_row_per_source(batches):
     for pdf in batches:
         yield pd.DataFrame({"source": pdf["source"].unique()})

@@ -25,6 +25,7 @@ from emberline.operators.batches import MAX_BYTES, MAX_LINES, WINDOW_SECONDS
 from emberline.operators.context import RELATED_SECONDS, kernel_parts
 from emberline.operators.detect import Detector, dmesg_detector, monitor_rules
 from emberline.operators.limits import limiter_window
+from emberline.operators.metrics import observed, progress_counts
 from emberline.plans.flow import assigned, events_of, numbered_monitors
 from emberline.functions.timestamps import with_timestamps
 from emberline.session import configure
@@ -44,17 +45,18 @@ class MonitorStream:
     silence counts from the start of the stream. Without it those of monitors that read one
     file are taken. ``idle`` ends a batch that got no line for so long (None: never).
     ``line_clock`` limits by the time in the lines instead of the wall clock. State that was not
-    touched for ``ttl`` seconds goes (None: never).
+    touched for ``ttl`` seconds goes (None: never). ``counted`` counts lines and events on the way (see ``counts``).
     """
 
     def __init__(
         self, spark: SparkSession, tenant: dict, monitors: list[dict], as_of: float | None = None,
         sources: list[tuple[str, str | None]] | None = None, window: float = WINDOW_SECONDS, max_lines: int = MAX_LINES,
         max_bytes: int = MAX_BYTES, idle: float | None = IDLE_SECONDS, line_clock: bool = False, ttl: float | None = None,
+        counted: bool = False,
     ):
         self.spark, self.tenant, self.as_of = configure(spark), tenant, as_of
         self.monitors = numbered_monitors(monitors)
-        self.sources = sources
+        self.sources, self.counted = sources, counted
         self.settings = {
             "window": window, "max_lines": max_lines, "max_bytes": max_bytes, "line_clock": line_clock,
             "idle_ms": None if idle is None else int(idle * 1000), "related": RELATED_SECONDS,
@@ -93,8 +95,13 @@ class MonitorStream:
         kernel = F.col("monitor").isin(kernel_names) if kernel_names else F.lit(False)
         match, stamp, exclude = choose("match", False), choose("stamp", None), choose("exclude", None)
         test = lambda build: F.coalesce(build(F.col("line")), F.lit(False)) if build else F.lit(False)
-        rows = lines.withColumn("kernel", kernel).withColumn("excluded", test(exclude))
-        rows = rows.withColumn("issue", F.col("kernel") | (test(match) & ~F.col("excluded")))
+        rows = lines.withColumn("kernel", kernel).withColumn("excluded", test(exclude)).withColumn("_match", test(match))
+        rows = rows.withColumn("issue", F.col("kernel") | (F.col("_match") & ~F.col("excluded")))
+        if self.counted:
+            plain = [m["id"] for m in self.monitors if m["id"] not in kernel_names]
+            rows = observed(rows, "lines", plain, {
+                "processed_lines": F.lit(True), "matched": F.col("_match"), "excluded": F.col("_match") & F.col("excluded"),
+                "issues_detected": F.col("issue")})
         if not self.watches:
             rows = rows.filter("issue")
         rows = rows.withColumn("line", F.when(F.col("issue"), F.col("line")))
@@ -123,6 +130,11 @@ class MonitorStream:
         """Events of batches and of alerts, with the tenant of their monitor."""
         return events_of(results, self.tenant, self.monitors)
 
+    def counts(self, progress: list) -> dict[str, dict[str, int]]:
+        """Lines and events counted in these micro-batches, by monitor name: pass a query's ``recentProgress``, or
+        the progress that a listener gets. Lines of kernel logs are not counted, as what matches depends on order."""
+        return progress_counts(progress, {m["id"]: m["name"] for m in self.monitors})
+
     def start(
         self, lines: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False,
         every: str = "1 second",
@@ -137,14 +149,22 @@ class MonitorStream:
 
         # Timers need batches without data; a bounded run ends when there is none.
         self.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not available_now).lower())
-        writer = self.events(self.results(lines)).writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+        results = self.results(lines)
+        if self.counted:
+            done = F.col("alert").isNull()
+            results = observed(results, "events", [m["id"] for m in self.monitors], {
+                "events": done, "events_sent": done & F.col("passed"), "events_dropped": done & ~F.col("passed")})
+        writer = self.events(results).writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
         return writer.start()
 
     def drain(self, checkpoint: str) -> DataFrame:
         """Events of the batches that a stopped stream has left open, read from its state, which stays as it is."""
+        operators = self.spark.read.format("state-metadata").load(checkpoint).filter(F.col("operatorName").startswith("transformWithState"))
+        operator = operators.select("operatorId").first()[0]
+
         def state(name: str) -> DataFrame:
-            reader = self.spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+            reader = self.spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", name)
             return reader.option("flattenCollectionTypes", "false").load() if name == "lines" else reader.load()
 
         key = [F.col("key.monitor").alias("monitor"), F.col("key.source").alias("source")]
@@ -163,3 +183,11 @@ class MonitorStream:
             F.size("texts").cast("long").alias("n_lines"), F.octet_length("message").cast("long").alias("n_bytes"), "message", "passed",
             F.lit(None).cast("string").alias("alert"), F.lit(None).cast("double").alias("at"))
         return self.events(rows)
+
+
+def unique_lines(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Lines that a shipper may hand over more than once, each once: known by monitor, source and number for
+    ``delay`` after it arrived. What is older than that leaves the state."""
+    keys = ["monitor", "source", "line_no"]
+    timed = lines.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_arrived")

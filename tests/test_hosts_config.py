@@ -102,14 +102,14 @@ def test_formats(spark, given, want):
 
 ERRORS = [
     (dict(name="t", type="file", path="/x"), None),
-    (dict(name="", type="file"), "name is required"),
-    (dict(name="t", type="bad"), "unknown monitor type: bad"),
-    (dict(name="t", type="file"), "path is required"),
-    (dict(name="t", type="command"), "command args are required"),
-    (dict(name="t", type="dmesg", pattern="("), "invalid pattern regex"),
-    (dict(name="t", type="dmesg", exclude_pattern="["), "invalid exclude_pattern regex"),
-    (dict(name="t", type="dmesg", max_inactivity="invalid"), "invalid max_inactivity"),
-    (dict(name="t", type="dmesg", rate_limit_window="2days"), "invalid rate_limit_window"),
+    (dict(name="", type="file"), "without a name"),
+    (dict(name="t", type="bad"), "no such monitor type: bad"),
+    (dict(name="t", type="file"), "without a path"),
+    (dict(name="t", type="command"), "a command monitor without a command"),
+    (dict(name="t", type="dmesg", pattern="("), "pattern cannot be read"),
+    (dict(name="t", type="dmesg", exclude_pattern="["), "exclude_pattern cannot be read"),
+    (dict(name="t", type="dmesg", max_inactivity="invalid"), "max_inactivity is no duration"),
+    (dict(name="t", type="dmesg", rate_limit_window="2days"), "rate_limit_window is no duration"),
     (dict(name="t", type="journalctl", pattern="(?i)x", max_inactivity="5m", rate_limit_window="1.5s"), None),
 ]
 
@@ -121,4 +121,4 @@ def test_validation(spark):
     for row, (case, want) in zip(got, ERRORS):
         assert (row.e is None) == (want is None) and (want or "") in (row.e or ""), case
     none = spark.createDataFrame([], M.SCHEMA)
-    assert {r.error for r in M.validate_config({"dsn": ""}, none).collect()} == {"DSN is required", "no monitors configured"}
+    assert {r.error for r in M.validate_config({"dsn": ""}, none).collect()} == {"an address (dsn) is missing", "nothing to monitor"}
