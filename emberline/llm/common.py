@@ -17,9 +17,12 @@ BATCH_ROWS = 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on."""
+    """Session settings the operators rely on. They work in steps that each write a table, after which the
+    shuffle files of a step are of no more use; Spark deletes them then, not when the driver happens to collect
+    its garbage."""
     configure(spark)
     for key, value in {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
         "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     }.items():

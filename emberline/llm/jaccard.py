@@ -3,10 +3,12 @@
 Documents with the same set are one class, and classes are joined. Two sets over the limit
 share one of the first n/5 + 1 entries of any common order of shingles, so a tile is what has
 such an entry and a size band in common. Frequent shingles come last in the order. In each
-tile all members are first held against one hub; what that links needs no further pairs.
-Then the members of different components meet in square sub-tiles of bounded size: a parity
-bitmap of each set gives, by its bit count, an upper bound of the overlap, and the pairs that
-pass are decided by intersecting the sorted arrays.
+tile all members are first held against one hub; what that links needs no further pairs. The
+hub is the member with most of its prefix in common with others, which in a group of edited
+copies is the text they were made from, or one near it. Then the members of different
+components meet in square sub-tiles of bounded size. Either way a parity bitmap of each set
+gives, by its bit count, an upper bound of the overlap, and only the pairs that pass are
+decided by intersecting the sorted arrays.
 """
 
 from __future__ import annotations
@@ -52,9 +54,9 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Parity of the members that fall on each bit, a bit or more a member: two bitmaps differ in
+    """Parity of the members that fall on each bit, two bits or more a member: two bitmaps differ in
     no more bits than the sets differ in members. Halves can be folded, as widths are powers of 2."""
-    width = max(512, 1 << (len(found) - 1).bit_length())
+    width = max(512, 1 << (2 * len(found) - 1).bit_length())
     ones = np.bincount((found % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(ones.astype(np.uint8)).view(np.uint64)
 
@@ -64,26 +66,25 @@ def enough(overlap, a, b):
     return DENOMINATOR * overlap >= NUMERATOR * (a + b - overlap)
 
 
-def _map(docs: DataFrame, carry: str, schema: str, arrow: list, row) -> DataFrame:
-    """The column ``carry`` and ``row(set)`` of each document."""
-    names = [f.split()[0] for f in schema.split(", ")]
-    kind = dict(docs.dtypes)[carry]
+def _classified(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``doc_id, n, cls, packed, keys`` of each row: size and class of its set, its compressed text and the
+    entries of its prefix. Every text is hashed here, and only here if nothing is like it."""
+    kind = dict(docs.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
+        tool = ZstdCompressor(3)
         for batch in batches:
-            rows = [row(shingles(x)) for x in as_bytes(batch.column(1))]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, arrow)], names=[carry, *names])
+            texts = as_bytes(batch.column(1))
+            sets = [shingles(x) for x in texts]
+            columns = [
+                pa.array(list(map(len, sets)), pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.binary()),
+                pa.array([tool.compress(t) if len(x) else None for t, x in zip(texts, sets, strict=True)], pa.binary()),
+                pa.array([prefix(x, shared.value).view(np.int64) for x in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "cls", "packed", "keys"])
 
-    return narrow(docs, carry, "text").mapInArrow(run, f"{carry} {kind}, {schema}")
-
-
-def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``cls, n, key`` of each entry in a document's prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    rows = _map(docs, "doc_id", "cls binary, n long, keys array<long>", [pa.binary(), pa.int64(), pa.list_(pa.int64())],
-                lambda found: (class_of(found), len(found), prefix(found, shared.value).view(np.int64)))
-    return rows.select("cls", "n", F.explode("keys").alias("key"))
+    return narrow(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls binary, packed binary, keys array<long>")
 
 
 def _often(docs: DataFrame) -> DataFrame:
@@ -97,34 +98,33 @@ def _often(docs: DataFrame) -> DataFrame:
     return counts.filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).select("key")
 
 
-def _class_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``cls, packed, bits`` of the chosen ``cls, doc_id``: compressed text and bitmap. Rows that
-    share an id are told apart by their class; equal rows of one task are taken once."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def pack(batches):
-        tool = ZstdCompressor(3)
+def _with_bits(texts: DataFrame) -> DataFrame:
+    """``cls, packed, n, bits``: bitmaps of the classes."""
+    def run(batches):
+        tool = ZstdDecompressor()
         for batch in batches:
-            packed = [x and tool.compress(x) for x in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+            bits = pa.array([bitmap(shingles(tool.decompress(x))).tobytes() for x in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], names=["cls", "packed", "n", "bits"])
+
+    return texts.select("cls", "packed", "n").mapInArrow(run, "cls binary, packed binary, n long, bits binary")
 
-    rows = docs.select("doc_id", "text").mapInArrow(pack, f"doc_id {kind}, packed binary").join(
-        chosen.select(F.col("doc_id").alias("rid"), "cls"), F.col("doc_id").eqNullSafe(F.col("rid"))
-    ).select("packed", "cls")
 
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` that sizes and bitmaps let through."""
     def run(batches):
-        seen, tool = set(), ZstdDecompressor()
         for batch in batches:
-            keep, bits = [], []
-            for data, cls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingles(data and tool.decompress(data))
-                keep.append(cls not in seen and class_of(found) == cls)
-                if keep[-1]:
-                    seen.add(cls)
-                    bits.append(bitmap(found).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(keep, pa.bool_())).columns, pa.array(bits, pa.binary())], names=["packed", "cls", "bits"])
+            keep = []
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                least = min(len(x), len(y)) // 8
+                folded = [np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, least), 0) for z in (x, y)]
+                differ = int(np.bitwise_count(folded[0] ^ folded[1]).sum(dtype=np.int64))
+                keep.append(bool(enough((a + b - differ) // 2, a, b)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "packed binary, cls binary, bits binary")
+    side = lambda cls, n, bits: texts.select(F.col("cls").alias(cls), F.col("n").alias(n), F.col("bits").alias(bits))
+    near = NUMERATOR * F.greatest("a", "b") <= DENOMINATOR * F.least("a", "b")
+    met = pairs.join(side("u", "a", "x"), "u").join(side("v", "b", "y"), "v").filter(near)
+    return met.select("u", "v", "a", "b", "x", "y").mapInArrow(run, "u binary, v binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -150,13 +150,15 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _tile_pairs(rows: list) -> list[tuple[bytes, bytes]]:
     """Pairs of one sub-tile that the sizes and bitmaps let through, each in one band only."""
-    cls, n, root, bits, band, half = (np.array(c, dtype=k) for c, k in zip(zip(*rows, strict=True), (object, np.int64, object, object, np.int64, np.int64), strict=True))
+    kinds = (object, np.int64, object, object, np.int64, np.bool_, np.int64)
+    cls, n, root, bits, band, early, half = (np.array(c, dtype=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))
     least = min(map(len, bits)) // 8
     maps = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least), 0) for x in bits])
     top, split, out = band.max(), half.max() != half.min(), []
     for i in range(len(n) - 1):
         j = np.arange(i + 1, len(n))
         j = j[(root[j] != root[i]) & (NUMERATOR * np.maximum(n[j], n[i]) <= DENOMINATOR * np.minimum(n[j], n[i])) & (np.maximum(band[j], band[i]) == top)]
+        j = j[(early[j] | (n[j] > n[i])) & (early[i] | (n[i] > n[j]))]
         if split:
             j = j[half[j] != half[i]]
         if len(j):
@@ -170,17 +172,17 @@ def _across(shared: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidate pairs between members of different components in the same tile."""
     rows = (
         shared.join(roots, F.col("cls") == F.col("node"), "left")
-        .select("key", "cls", "n", "band", F.coalesce("root", "cls").alias("root"), F.explode(F.array("band", F.col("band") + 1)).alias("top"))
+        .select("key", "cls", "n", "band", "early", F.coalesce("root", "cls").alias("root"), F.explode(F.array("band", F.col("band") + 1)).alias("top"))
     )
     tiles = rows.groupBy("key", "top").agg(
-        F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("band").alias("b1")
-    ).filter("r0 <> r1 AND b1 = top").select("key", "top", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+        F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("band").alias("b1"), F.max("early").alias("early")
+    ).filter("r0 <> r1 AND b1 = top AND early").select("key", "top", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = (
         rows.join(tiles, ["key", "top"]).withColumn("mine", mine).withColumn("other", other)
         .join(texts.select("cls", "bits"), "cls")
-        .select("key", "top", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "cls", "n", "root", "bits", "band", "mine")
+        .select("key", "top", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "cls", "n", "root", "bits", "band", "early", "mine")
     )
     tile = ["key", "top", "lo", "hi"]
 
@@ -212,18 +214,38 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
     kept = Tables(docs.sparkSession)
     docs = narrow(docs, "doc_id", "text")
-    rows = kept.cut(_map(docs, "doc_id", "n long, cls binary", [pa.int64(), pa.binary()], lambda found: (len(found), class_of(found))))
-    reps = kept.cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     frequent = np.sort(np.array([r[0] for r in _often(docs).collect()], np.int64).view(np.uint64))
+    # Rows are known by a number, as ids may be missing or repeat.
+    rows = kept.cut(_classified(docs, frequent).withColumn("row", F.monotonically_increasing_id()))
+    reps = kept.cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
     same = Window.partitionBy("key")
-    keys = _keys(docs, frequent).withColumn("c0", F.min("cls").over(same)).withColumn("c1", F.max("cls").over(same)).filter("c0 <> c1")
+    both = NUMERATOR + DENOMINATOR
+    alike = F.col("n") - F.floor((2 * NUMERATOR * F.col("n") + both - 1) / both)
+    # Of two linked sets the smaller, if not both, has a common entry among its first n/9 + 1 already.
+    keys = rows.join(reps.select("row"), "row", "left_semi").select("cls", "n", F.posexplode("keys").alias("pos", "key"))
+    keys = keys.select("cls", "n", "key", (F.col("pos") <= alike).alias("early"))
+    # Entries that the same classes share make the same tile, which goes by a hash of its members. Were two
+    # tiles to have one hash, they would be one larger tile.
+    met = keys.withColumns({
+        "c0": F.min("cls").over(same), "c1": F.max("cls").over(same), "tile": F.bit_xor(F.xxhash64("cls")).over(same)}).filter("c0 <> c1")
     band = F.floor(F.log("n") / float(np.log(BAND)))
-    shared = kept.cut(keys.select("key", "cls", "n", band.alias("band")).distinct())
-    texts = kept.cut(_class_texts(docs, shared.select("cls").distinct().join(reps, "cls")))
-
-    hubs = shared.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("hub"))
-    stars = shared.join(hubs, ["key", "band"]).select(F.col("hub.cls").alias("u"), F.col("cls").alias("v")).filter("u <> v").distinct()
-    links = kept.cut(_linked(stars, texts))
+    shared = kept.cut(met.groupBy(F.col("tile").alias("key"), "cls", "n", band.alias("band")).agg(
+        F.count(F.lit(1)).alias("entries"), F.max("early").alias("early")))
+    common = shared.groupBy("cls").agg((F.sum("entries") / (F.first("n") / DENOMINATOR + 1)).alias("common"))
+    chosen = common.join(reps.select("cls", "row"), "cls")
+    texts = kept.cut(_with_bits(rows.select("row", "packed", "n").join(chosen.select("row", "cls"), "row")))
+
+    # A tile's hub is the best of its band and the one below; so every member meets a hub or two, and
+    # the members of neighbouring bands meet the same one.
+    best = F.max(F.struct("common", F.xxhash64("cls").alias("h"), "cls")).alias("best")
+    tiles = shared.join(common, "cls").groupBy("key", "band").agg(best)
+    order, other = Window.partitionBy("key").orderBy("band"), F.struct("band", "best")
+    beside = lambda at, step: F.when(at["band"] == F.col("band") + step, F.greatest("best", at["best"])).otherwise(F.col("best"))["cls"]
+    hubs = tiles.withColumns({"low": F.lag(other).over(order), "high": F.lead(other).over(order)}).select(
+        "key", "band", F.array_distinct(F.array(beside(F.col("low"), -1), beside(F.col("high"), 1))).alias("hubs"))
+    stars = shared.select("key", "band", "cls").join(hubs, ["key", "band"]).select(
+        F.explode("hubs").alias("u"), F.col("cls").alias("v")).filter("u <> v").distinct()
+    links = kept.cut(_linked(_possible(stars, texts), texts))
     roots = components(links, kept)
     more = _linked(_across(shared, texts, roots), texts)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), kept)
@@ -231,7 +253,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     names = reps.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
     first = names.groupBy("root").agg(F.min("doc_id").alias("first"))
     ids = names.join(first, "root").select("cls", "first")
-    result = cut(rows.join(ids, "cls", "left").select(
+    result = cut(rows.select("doc_id", "n", "cls").join(ids, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id")))
     kept.drop_all()
     return result
