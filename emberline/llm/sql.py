@@ -12,21 +12,20 @@ dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n
 win AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 rep AS (SELECT doc_id, i FROM win SEMI JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) r USING (doc_id, g)),
 again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(5) t(k) GROUP BY doc_id),
-norm AS (SELECT doc_id, host, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM dl),
-lw AS (SELECT doc_id, host, line, sum(len(string_split(line, ' '))) AS words FROM norm WHERE line <> '' GROUP BY ALL),
-hosts AS (SELECT host, count(DISTINCT doc_id) AS documents FROM d GROUP BY host),
-common AS (SELECT host, line FROM lw JOIN hosts USING (host) GROUP BY host, line, documents
-           HAVING count(*) > 100 AND count(*) > 0.01 * documents),
-lost AS (SELECT doc_id FROM lw LEFT JOIN (SELECT *, true AS c FROM common) USING (host, line) GROUP BY doc_id
-         HAVING coalesce(sum(words) FILTER (c IS NULL), 0) < 0.5 * sum(words)),
+norm AS (SELECT doc_id, host, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+         FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+hosts AS (SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host),
+common AS (SELECT host, line FROM norm JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line, documents
+           HAVING count(DISTINCT text) >= 5 AND count(DISTINCT text) > 0.05 * documents),
+lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM norm JOIN common USING (host, line) GROUP BY doc_id),
 base AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
-         FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id))
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_common_words
+         FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM lost) AS kept
+  n_common_words, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT 2 * (n_words - n_common_words) < n_words AS kept
 FROM base"""
 
 _W3 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
