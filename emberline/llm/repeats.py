@@ -7,7 +7,8 @@ anything moves. Where an anchor has several classes, their bytes go to one block
 Burrows-Wheeler transform gives the common prefixes by increasing value, from the seeds up to
 ``length``: what is still open then is repeated. Anchors with more classes than a block
 should hold are split further: their stretches are cut at fixed distances from the anchor,
-equal parts become one, and the strings of different parts are dealt by their own hash.
+equal parts become one, and where different parts have the bytes in common that all their
+strings hold, the strings are dealt by their own hash.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from zstandard import ZstdCompressor, ZstdDecompressor
 
 from emberline.llm.common import _BYTE, _powers, as_bytes, mix64, narrow, partitions, record_batch
@@ -185,7 +187,8 @@ def _stretch_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _parts(piece: bytes, n: int, length: int, gram: int) -> list[dict]:
     """The n strings of a stretch by distance from its anchor: first string, hash of the
-    part, hash of each string. Equal parts of other stretches have equal hashes."""
+    part, hash of its core, hash of each string. Equal parts of other stretches have equal hashes.
+    The core is what all strings of these distances hold, so equal strings have equal cores."""
     total, down = _hashes(np.frombuffer(piece, np.uint8))
     width = length - gram + 1
     grams = mix64((total[gram : gram + width] - total[:width]) * down[:width])
@@ -195,14 +198,16 @@ def _parts(piece: bytes, n: int, length: int, gram: int) -> list[dict]:
     out = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         whole = mix64((total[b + length - 1] - total[a : a + 1]) * down[a : a + 1] + np.uint64(b - a))
-        out.append({"first": a, "part": int(whole.view(np.int64)[0]), "strings": strings[a:b].view(np.int64).tolist()})
+        start = a - (a - lead) % PART
+        core = mix64((total[start + length : start + length + 1] - total[start + PART - 1]) * down[start + PART - 1] + np.uint64(lead - start + PART))
+        out.append({"first": a, "part": int(whole.view(np.int64)[0]), "core": int(core.view(np.int64)[0]), "strings": strings[a:b].view(np.int64).tolist()})
     return out
 
 
 def _pieces(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """Bytes of one stretch of each wanted class, or hashes of its parts under a crowded anchor."""
     listed = wanted.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "first", "n", "crowded")).alias("wanted"))
-    part = pa.struct([("first", pa.int64()), ("part", pa.int64()), ("strings", pa.list_(pa.int64()))])
+    part = pa.struct([("first", pa.int64()), ("part", pa.int64()), ("core", pa.int64()), ("strings", pa.list_(pa.int64()))])
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary()), ("parts", pa.list_(part))])
 
     def run(batches):
@@ -216,7 +221,7 @@ def _pieces(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataF
                         rows.append((s["anchor"], s["content"], *both))
                     yield record_batch(schema, *zip(*rows, strict=True))
 
-    parts = "array<struct<first: long, part: long, strings: array<long>>>"
+    parts = "array<struct<first: long, part: long, core: long, strings: array<long>>>"
     return docs.join(listed, "uid").select("text", "wanted").mapInArrow(run, f"anchor long, content long, bytes binary, parts {parts}")
 
 
@@ -248,10 +253,11 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
 
 def _crowded(pieces: DataFrame) -> DataFrame:
     """The same for anchors with too many classes. Equal parts are counted first, so that
-    only strings of different parts are dealt out."""
+    only strings of different parts are dealt out, and of these only such with a common core."""
     parts = pieces.filter("parts is not null").select("anchor", "content", F.explode("parts").alias("p")).select("anchor", "content", "p.*")
-    distinct = parts.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("times"), F.first("strings").alias("strings"))
-    strings = distinct.select("anchor", "part", "times", F.posexplode("strings").alias("k", "string"))
+    distinct = parts.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("times"), F.first("core").alias("core"), F.first("strings").alias("strings"))
+    beside = F.count(F.lit(1)).over(Window.partitionBy("anchor", "core"))
+    strings = distinct.withColumn("beside", beside).filter("beside > 1").select("anchor", "part", "times", F.posexplode("strings").alias("k", "string"))
     often = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     single = strings.filter("times = 1").join(often, ["anchor", "string"]).groupBy("anchor", "part").agg(F.collect_set("k").alias("k"))
     whole = distinct.filter("times > 1").select("anchor", "part", F.expr("sequence(0, size(strings) - 1)").alias("k"))

@@ -79,3 +79,24 @@ def test_intervals_against_counts(length):
         for t, runs in zip(texts, repeats._block(texts, length), strict=True):
             starts = {i for a, b in zip(runs[::2], runs[1::2], strict=True) for i in range(a, b)}
             assert starts == {i for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1}
+
+
+def test_equal_strings_have_equal_cores():
+    """Parts under a crowded anchor meet by core, so no two equal strings may be in parts of different cores."""
+    rng = random.Random(5)
+    length, gram = 60, 12
+    anchor = bytes(rng.choices(b"abcdef", k=gram))
+    sides = [(bytes(rng.choices(b"uvw", k=48)), bytes(rng.choices(b"xyz", k=48))) for _ in range(3)]
+    for _ in range(60):
+        seen = {}
+        for n, (left, right) in enumerate(rng.choices(sides, k=4)):
+            text = left[rng.randrange(20) :] + anchor + right[: rng.randrange(30, 49)]
+            for found in repeats.stretches(np.frombuffer(text, np.uint8), length, gram):
+                for key, _, first, count in zip(*found, strict=True):
+                    piece = text[first : first + count + length - 1]
+                    for p in repeats._parts(piece, int(count), length, gram):
+                        for k in range(len(p["strings"])):
+                            at = p["first"] + k
+                            seen.setdefault((key, piece[at : at + length]), set()).add(p["core"])
+        assert all(len(cores) == 1 for cores in seen.values())
+        assert len(set().union(*seen.values())) > 1
