@@ -2,6 +2,8 @@
 
 import random
 
+from zstandard import ZstdCompressor
+
 from emberline.llm import jaccard
 
 
@@ -66,3 +68,40 @@ def test_one_row_a_group(table):
     assert [r.asDict().keys() for r in got][0] == {"doc_id": 0, "text": 0, "document": 0}.keys()
     kept = sorted(r.document for r in got)
     assert kept in (["a", "b", "d", x, "i", "j", "k", "l"] for x in "fg"), kept
+
+
+def test_sub_tile_gives_no_more_than_its_members():
+    """A group of near copies is held together by as many links as it has members, not by all its pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(150)] = f"x{i}"
+        text = " ".join(copy).encode()
+        found = jaccard.shingles(text)
+        rows.append((i, len(found), i, jaccard.bitmap(found).tobytes(), 21, True, 0, ZstdCompressor().compress(text)))
+    assert sum(len(j) for _, j in jaccard._near(rows, 21)) > 39
+    links = jaccard._forest(rows, 21)
+    root = list(range(40))
+    for u, v in links:
+        root = [root[v] if x == root[u] else x for x in root]
+    assert len(links) == 39 and len(set(root)) == 1
+    # Nothing is compared that is one component already, or in another band.
+    assert jaccard._forest([(*r[:2], 0, *r[3:]) for r in rows], 21) == [] == jaccard._forest(rows, 22)
+
+
+def test_many_near_misses(table, monkeypatch):
+    """Texts around the limit, of which hubs link few; sets are dropped and made again."""
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "HELD", 300)
+    rng = random.Random(6)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for i in range(40):
+            copy = list(base)
+            for k in range(0, 150, 25):
+                copy[k + rng.randrange(4) * (i % 3 + 1)] = f"x{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(copy)))
+    check(table, rows)
