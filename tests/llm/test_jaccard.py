@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
 from zstandard import ZstdCompressor
 
 from emberline.llm import jaccard
+from emberline.plans.storage import Tables
 
 
 def plain(rows):
@@ -105,3 +107,52 @@ def test_many_near_misses(table, monkeypatch):
                 copy[k + rng.randrange(4) * (i % 3 + 1)] = f"x{rng.randrange(3)}"
             rows.append((len(rows), " ".join(copy)))
     check(table, rows)
+
+
+def test_prefixes_are_not_moved_to_find_classes(table, monkeypatch):
+    """Entries are dealt out as they are read; copies that several tasks give count once."""
+    plans, cut = [], Tables.cut
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(self, df)
+
+    monkeypatch.setattr(Tables, "cut", noted)
+    text = lambda k, n: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(100 * k + i, text(k, 60) + (" tail" if i % 4 == 3 else "")) for k in range(6) for i in range(12)] + [(None, text(1, 60)), (7, text(9, 3)), (8, "")]
+    df = table(rows, "doc_id long, text string").repartition(7)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar_groups(df).collect())
+    assert got == plain(rows)
+    below = [p.split("posexplode")[1] for p in plans if "posexplode" in p]
+    assert len(below) == 1 and "Join" not in below[0]
+
+
+def test_given_classes():
+    given = set()
+    assert jaccard._not_given([b"a", None, b"b", b"a"], given) == [True, False, True, False]
+    assert jaccard._not_given([b"b", b"c"], given) == [False, True]
+
+
+def test_what_a_task_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(jaccard, "GIVEN", 2)
+    given = set()
+    assert jaccard._not_given([b"a", b"b", b"a", b"c", b"a", b"c"], given) == [True, True, False, True, True, False]
+    assert len(given) == 2
+
+
+def test_members_without_a_partner_stay_out(table):
+    """Of the members of a tile only those go on that sizes, bands and early entries leave a partner, and all of those."""
+    rng = random.Random(12)
+    rows, wanted = [], set()
+    for key in range(300):
+        tile = [(key, c, n, int(n >= 100), rng.random() < 0.5) for c, n in enumerate(rng.choices(range(80, 125), k=rng.choice([2, 2, 3, 5])))]
+        rows += tile
+        for i, (_, u, a, p, x) in enumerate(tile):
+            for _, v, b, q, y in tile[:i]:
+                if 4 * max(a, b) <= 5 * min(a, b) and (x or a > b) and (y or b > a):
+                    wanted |= {(key, max(p, q), u), (key, max(p, q), v)}
+    df = table(rows, "key long, cls long, n long, band long, early boolean").withColumn("top", F.explode(F.array("band", F.col("band") + 1)))
+    got = {(r.key, r.top, r.cls) for r in jaccard._with_partner(df).collect()}
+    assert wanted <= got
+    pairs = {k for k in range(300) if sum(r[0] == k for r in rows) == 2 and len({r[2] for r in rows if r[0] == k}) == 2}
+    assert pairs and {x for x in got if x[0] in pairs} == {x for x in wanted if x[0] in pairs}
