@@ -127,6 +127,20 @@ def test_prefixes_are_not_moved_to_find_classes(table, monkeypatch):
     assert len(below) == 1 and "Join" not in below[0]
 
 
+def test_classes_of_one_code(table, monkeypatch):
+    """Codes that stand for several classes lose no link and make none."""
+    monkeypatch.setattr(jaccard, "CODE", 2)
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(2):
+            copy = list(base)
+            copy[rng.randrange(80)] = f"x{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(copy)))
+    check(table, rows)
+
+
 def test_given_classes():
     given = set()
     assert jaccard._not_given([b"a", None, b"b", b"a"], given) == [True, False, True, False]
