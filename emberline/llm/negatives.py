@@ -7,7 +7,9 @@ interval of the cosine, which times both norms, rounded outwards, bounds the sco
 whose interval reaches into a wanted window of scores are scored.
 
 Rows are packed into shards of bounded size and anchors into blocks; each block meets each
-shard. What a meeting finds is cut to the few best, which a window per anchor merges.
+shard. The meetings are dealt over tiles of some shards by some blocks, a tile a task, so a block
+is copied once for each row of tiles and a shard once for each column, and nothing is broadcast.
+What a meeting finds is cut to the few best, which a window per anchor merges.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from emberline.plans.storage import Tables, cut
 
 #: Rows of a shard and anchors of a block, on average.
 SHARD_ROWS, BLOCK_ANCHORS = 2048, 256
+#: Shards and blocks of a tile at most, where there are more than a few tiles for each core.
+TILE_SHARDS, TILE_BLOCKS, TILES_PER_CORE = 8, 256, 4
 #: Reference directions, and rows among which they are chosen. They decide how many rows are scored, not the result.
 REFERENCES, CANDIDATES = 16, 1024
 #: Angles are kept in single precision; this is more than their error.
@@ -51,6 +55,12 @@ def angles(vectors: np.ndarray, norms: np.ndarray, references: np.ndarray) -> np
     return np.where(norms[:, None] > 0, np.arccos(np.clip(cosines, -1, 1)), 0).astype(np.float32)
 
 
+def shortest(vectors: np.ndarray) -> bytes:
+    """The integers in the fewest bytes that hold each of them."""
+    low, high = vectors.min(initial=0), vectors.max(initial=0)
+    return vectors.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)).tobytes()
+
+
 def spread(vectors: np.ndarray, count: int) -> np.ndarray:
     """Unit vectors far apart, a vector and its opposite being the same: the next one is that which the last ones know least about."""
     norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
@@ -70,7 +80,8 @@ class Side:
     def __init__(self, row: dict):
         n = row["n"]
         of = lambda name, kind: np.frombuffer(row[name], kind)
-        self.vectors = of("vectors", np.int64).reshape(n, row["width"])
+        held = n * row["width"]
+        self.vectors = of("vectors", f"i{len(row['vectors']) // held if held else 8}").reshape(n, row["width"]).astype(np.int64)
         self.norms, self.angles = of("norms", np.float64), of("angles", np.float32).reshape(n, -1) if n else None
         self.labels, self.rows = of("labels", np.int64), of("rows", np.int64)
         self.ids, self.known = of("ids", np.int64), of("known", np.bool_)
@@ -157,7 +168,7 @@ def _pack(scale: int, references, key: str, positives: int = 0, low: int = 0, hi
         norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
         ids = group["vec_id"].combine_chunks()
         columns = {
-            key: group[key][:1], "n": [len(vectors)], "width": [vectors.shape[1]], "vectors": [vectors.tobytes()],
+            key: group[key][:1], "n": [len(vectors)], "width": [vectors.shape[1]], "vectors": [shortest(vectors)],
             "norms": [norms.tobytes()], "angles": [angles(vectors, norms, references.value).tobytes()],
             "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()],
             "known": [ids.is_valid().to_numpy(zero_copy_only=False).tobytes()],
@@ -176,12 +187,21 @@ def _pack(scale: int, references, key: str, positives: int = 0, low: int = 0, hi
     return run
 
 
-def _meet(shards: DataFrame, blocks: DataFrame, count: int, work, schema: str) -> DataFrame:
-    """``work(block, shard)`` for each block and each of the ``count`` shards."""
+def _meet(shards: DataFrame, blocks: DataFrame, count: int, wide: int, work, schema: str) -> DataFrame:
+    """``work(block, shard)`` for each of the ``wide`` blocks and each of the ``count`` shards."""
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in schema.split(", ")]
-    dealt = blocks.select(F.struct(*blocks.columns).alias("anchors"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"))
-    pairs = shards.select(F.struct(*shards.columns).alias("side"), "shard").join(dealt, "shard").select("side", "anchors")
+    down = min(count, max(TILES_PER_CORE * shards.sparkSession.sparkContext.defaultParallelism, math.ceil(count / TILE_SHARDS)))
+    across = math.ceil(wide / TILE_BLOCKS)
+    # Both sides come with the task of their tile, so that Spark sends neither of them whole to every executor: before it
+    # runs, the blocks are taken for as small as they are without their copies.
+    each = lambda n, place: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: place(k).cast("int"))).alias("tile")
+    dealt = shards.select(F.struct(*shards.columns).alias("side"), each(across, lambda k: F.col("shard") % down * across + k))
+    copied = blocks.select(F.struct(*blocks.columns).alias("anchors"), each(down, lambda k: k * across + F.col("block") % across))
+    pairs = (
+        dealt.repartitionById(down * across, "tile").hint("merge").join(copied.repartitionById(down * across, "tile"), "tile")
+        .select("side", "anchors")
+    )
 
     def run(batches):
         for batch in batches:
@@ -230,7 +250,7 @@ def mine(
     order = [F.desc("score"), F.asc_nulls_last("id"), "found"]
     first = Window.partitionBy("row").orderBy(*order)
     best = kept.cut(
-        _meet(shards, packed, count, nearest, "row long, found long, id long, score long")
+        _meet(shards, packed, count, blocks, nearest, "row long, found long, id long, score long")
         .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= positives)
     )
     wanted = best.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "score"))), lambda p: p["score"]).alias("scores"))
@@ -244,7 +264,7 @@ def mine(
 
     each = Window.partitionBy("row", "place").orderBy(*order)
     hard = (
-        _meet(shards, windows, count, between, "row long, place int, found long, id long, score long")
+        _meet(shards, windows, count, blocks, between, "row long, place int, found long, id long, score long")
         .withColumn("rank", F.row_number().over(each)).filter(F.col("rank") <= negatives)
         .select("row", "place", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     )

@@ -105,3 +105,35 @@ def test_filter_leaves_rows_out(monkeypatch):
     least, most = np.full((400, 1), 256 * 256 * 12), np.full((400, 1), 256 * 256 * 24)
     negatives.best_negatives(side, side, least, most, 3)
     assert sum(scored) < 0.3 * 400 * 300
+
+
+def test_tiles(table, spark, monkeypatch):
+    """Each block meets each shard once, in tiles of both, and no side goes whole to every executor."""
+    monkeypatch.setattr(negatives, "TILE_SHARDS", 3)
+    monkeypatch.setattr(negatives, "TILE_BLOCKS", 4)
+    monkeypatch.setattr(negatives, "TILES_PER_CORE", 0)
+    vectors = np.arange(6, dtype=np.int64).reshape(3, 2)
+    fields = {"n": 3, "width": 2, "vectors": bytearray(negatives.shortest(vectors)), "norms": bytearray(24), "angles": bytearray(0), "ids": bytearray(24), "known": bytearray(3),
+              "labels": bytearray(24), "rows": bytearray(24)}
+    schema = ", ".join(["{0} int", negatives.PACKED])
+    shards = table([(k, *fields.values()) for k in range(10)], schema.format("shard"))
+    # Their number comes from a shuffle, after which Spark plans the rest anew.
+    blocks = table([(k, *fields.values()) for k in range(9)], schema.format("block")).groupBy("block").applyInArrow(lambda g: g, schema.format("block"))
+
+    def work(packed, a, x):
+        assert (a.vectors == vectors).all() and (x.vectors == vectors).all()
+        return ([packed["block"]], None), ([a.vectors.sum()], None)
+
+    met = negatives._meet(shards, blocks, 10, 9, work, "block int, total long")
+    assert sorted((r.block, r.total) for r in met.collect()) == [(k, 15) for k in range(9) for _ in range(10)]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert met.rdd.getNumPartitions() == 4 * 3
+
+
+def test_integers_in_few_bytes():
+    for top, size in ((127, 1), (128, 2), (1 << 15, 4), (1 << 40, 8)):
+        vectors = np.array([[top, -3], [0, 1]])
+        data = negatives.shortest(vectors)
+        assert len(data) == 4 * size and (np.frombuffer(data, f"i{size}").reshape(2, 2) == vectors).all()
+    assert negatives.shortest(np.zeros((0, 0), np.int64)) == b""
