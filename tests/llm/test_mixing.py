@@ -82,3 +82,54 @@ def test_slots(table):
     assert sorted(map(len, shards.values())) == [24] + [64] * 7
     a = [sum(k == "=a" for k in x) for x in shards.values() if len(x) == 64]
     assert len(set(a)) > 1 and all(20 < n < 56 for n in a)
+
+
+def test_permutation_is_the_same(spark):
+    """With centres made elsewhere too, each place goes where the definition takes it."""
+    n, key = F.lit(700) - F.col("id") % 7, (F.concat(F.lit("="), (F.col("id") % 3).cast("string")), F.lit(17))
+
+    def turn(place, r):
+        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - place, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(place, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(place)
+
+    want = F.aggregate(F.sequence(F.lit(1), F.lit(mixing.ROUNDS)), F.col("id"), turn)
+    rows = spark.range(500).withColumn("made", mixing.centres(n, *key))
+    got = rows.select("id", permuted(F.col("id"), n, *key), permuted(F.col("id"), n, *key, rounds=F.col("made")), want).collect()
+    assert all(a == b == c for _, a, b, c in got) and sum(x != a for x, a, _, _ in got) > 400
+
+
+def test_the_mix_holds_the_words(table):
+    """Every block of the mix is a block of its source's words, document after document; counts are those of the mix."""
+    rows = [(i, "\t".join(f"d{i}w{k}" for k in range(i % 90)) + " \n", None if i % 11 == 0 else f"s{i % 3}", "x") for i in range(600)]
+    rows += [(9005, "a  b c", "s1", "x")] * 3 + [(None, "e f", "s2", "x"), (9001, None, "s2", "x"), (9002, " ", "s0", "x"), (9003, "l " * 700, "s0", "x")]
+    df = table(rows, "doc_id long, text string, source string, words string")
+    made = mixing.mixture(df).collect()
+    sized = mixing.with_sizes(df).collect()
+    start = {}
+    for r in sized:
+        start.setdefault((r.source, r.doc_id), []).append(r.start)
+    words = {}
+    for i, text, source, _ in rows:
+        for k, w in enumerate((text or "").split()):
+            words.setdefault(source, {})[start[source, i][0] + k] = w
+        start[source, i] = start[source, i][1:] if text and text.split() else start[source, i]
+    # Starts are without gaps, so the words of a source are one sequence.
+    blocks = {s: [[w[k] for k in range(b, min(b + mixing.BLOCK, len(w)))] for b in range(0, len(w), mixing.BLOCK)] for s, w in words.items()}
+    places = {}
+    for r in made:
+        places.setdefault((r.shard, r.place), []).append(r)
+    assert sorted(places) == [(k // mixing.SHARD_SLOTS, k % mixing.SHARD_SLOTS) for k in range(len(places))]
+    used = {s: [0] * len(b) for s, b in blocks.items()}
+    for held in places.values():
+        held.sort(key=lambda r: r.at)
+        source, found = held[0].source, " ".join(r.words for r in held).split()
+        assert {r.source for r in held} == {source} and [r.at for r in held] == [sum(len(x.words.split()) for x in held[:k]) for k in range(len(held))]
+        used[source][blocks[source].index(found)] += 1
+    assert all(max(u) - min(u) <= 1 and max(u) <= mixing.MAX_REPEATS for s, u in used.items() if len({tuple(b) for b in blocks[s]}) == len(u))
+    took = {}
+    for r in made:
+        took[r.source, r.doc_id] = took.get((r.source, r.doc_id), 0) + len(r.words.split())
+    taken = {}
+    for r in mix(df).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert {i: n for i, n in taken.items() if n} == {i: n for (_, i), n in took.items()}
